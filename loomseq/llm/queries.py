@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm import capping, clusters, components, near_duplicates, splitting, topn
+from loomseq.llm import capping, clusters, components, leakage, near_duplicates, packing, reading, splitting, topn
 from loomseq.session import table
 
 
@@ -70,7 +70,43 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(_hits(spark, d), "query_id", "as_score", ["database_id", "hit_id"], n=3).select("query_id", "hit_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_near_duplicate_groups, p2_found, p2_group_sizes, p3_found, p3_pieces, p4_found, p4_capped_by_day, p5_found, p5_profile, p6_found)}
+def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The three best hits of every read with their rank."""
+    return topn.top_n(_hits(spark, d), "query_id", "as_score", ["database_id", "hit_id"], n=3).select("query_id", "rank", "hit_id", "database_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: their number by room left, in steps of 64 tokens."""
+    packed = packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+    boxes = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n_items"))
+    return boxes.groupBy((F.floor((2048 - F.col("used")) / 64) * 64).cast("int").alias("room_from")).agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("used").alias("n_tokens"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_texts(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.remove_leaks(_texts(spark, d), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(reading.reading_levels(_texts(spark, d), table(spark, d, "doc_labels"))).select("doc_id")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_texts(spark, d), table(spark, d, "doc_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_near_duplicate_groups, p2_found, p2_group_sizes, p3_found, p3_pieces, p4_found, p4_capped_by_day, p5_found, p5_profile, p6_found, p6_ranked, p7_containers, p7_fill, p8_found, p8_cleaned, p9_found, p9_levels)}
 
 _LINKS = """
 edges as (
@@ -84,6 +120,14 @@ found as (select record_id, min(other) as group_id from reach group by record_id
 """
 _HITS = "hits as (select hit_id, any_value(query_id) as query_id, any_value(upper(trim(database_id))) as database_id, any_value(as_score) as as_score from alignments where hit_id is not null group by hit_id)"
 
+_WORDS = r"""
+plain as (select kind, id, regexp_replace(regexp_replace(text, '<[A-Za-z/!][^<>]*>|&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', ' ', 'g'),
+    '([\p{L}])-[ \t]*\r?\n(?:[ \t>#;%*]|//|--)*([\p{L}\p{N}])', '\1\2', 'g') as t
+  from (select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from eval_items) where text is not null),
+tokens as (select kind, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as w from plain),
+windows as (select kind, id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as gram from tokens where len(w) >= 12)
+"""
+
 SQL = {
     "p2_found": f"with recursive {_LINKS} select record_id, group_id from found",
     "p2_group_sizes": f"with recursive {_LINKS} select group_id, count(*) as n_records from found group by group_id",
@@ -92,4 +136,9 @@ SQL = {
       select hit_id from ranked where n > 40 and r <= 40""",
     "p6_found": f"""with {_HITS} select query_id, hit_id from hits where query_id is not null
       qualify row_number() over (partition by query_id order by as_score desc nulls last, database_id, hit_id) <= 3""",
+    "p8_found": f"""with {_WORDS} select distinct a.id as doc_id, b.id as item_id
+      from windows a join windows b on a.gram = b.gram where a.kind = 'd' and b.kind = 'i'""",
+    "p6_ranked": f"""with {_HITS}, ranked as (
+      select query_id, row_number() over (partition by query_id order by as_score desc nulls last, database_id, hit_id) as rank, hit_id, database_id from hits where query_id is not null)
+      select query_id, rank, hit_id, database_id from ranked where rank <= 3""",
 }
