@@ -25,11 +25,13 @@ from loomseq.session import materialize
 class ReadingConf:
     """order: letters of the longest n-gram. alphabet: a to z, any other letter, word start and end, so a model has at
     most 29 ** order counts, however large the corpus. step: width of the score bins that raters' marks are gathered in.
-    demanding: least level of a candidate for a demanding document; the limits below are then checked exactly."""
+    bits_per_letter: fewest bits that a letter of demanding prose takes on average; together with the limits of sentence
+    and word length it gives the least score, and by the fitted curve the least level, of a candidate for a demanding
+    document, whose limits are then checked exactly."""
 
     order: int = 4
     step: float = 0.02
-    demanding: float = 8.0
+    bits_per_letter: float = 0.75
     least_words: int = 40
     words_per_sentence: float = 16.0
     letters_per_word: float = 5.7
@@ -233,10 +235,14 @@ def reading_levels(docs: DataFrame, labels: DataFrame, conf: ReadingConf = Readi
             x = pdf["score"].to_numpy(float)
             yield pdf.assign(level=np.where(np.isnan(x), np.nan, np.interp(x, xs, ys)))
 
-    return scored.mapInPandas(level, _SCORED + ", level double").withColumn("level", F.nanvl("level", F.lit(None).cast("double")))
+    return materialize(scored.mapInPandas(level, _SCORED + ", level double").withColumn("level", F.nanvl("level", F.lit(None).cast("double"))), "levels")
 
 
 def demanding(levels: DataFrame, conf: ReadingConf = ReadingConf()) -> DataFrame:
-    """Documents whose level is at least ``demanding`` (any level where none could be fitted) and whose prose keeps the
-    exact limits of words, words per sentence and letters per word."""
-    return levels.where((F.col("level").isNull() | (F.col("level") >= conf.demanding)) & (F.col("n_words") >= conf.least_words) & (F.col("words_per_sentence") >= conf.words_per_sentence) & (F.col("letters_per_word") >= conf.letters_per_word))
+    """Documents whose level reaches that of the least demanding prose (any level where none could be fitted), and whose
+    prose keeps the exact limits of words, words per sentence and letters per word."""
+    least = float(np.log2(conf.words_per_sentence * conf.letters_per_word * conf.bits_per_letter))
+    # the curve is monotone: the lowest level from that score on is the level of the score
+    floor = levels.where(F.col("score") >= least).agg(F.min("level").alias("floor"))
+    candidates = levels.crossJoin(F.broadcast(floor)).where("level is null or level >= floor")  # floor is one row
+    return candidates.drop("floor").where((F.col("n_words") >= conf.least_words) & (F.col("words_per_sentence") >= conf.words_per_sentence) & (F.col("letters_per_word") >= conf.letters_per_word))

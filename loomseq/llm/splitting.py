@@ -26,26 +26,27 @@ def split_spans(ends: np.ndarray, boundaries: np.ndarray, limit: int, overlap: i
 
     ``ends[t]`` is the size of the item up to and with token t (a prefix sum), ``boundaries`` are sorted token offsets
     at which a piece may begin. A piece is at most ``limit`` large; neighbours share at least ``overlap`` in size (the
-    smallest number of whole tokens that reaches it). A token larger than the limit is a piece of its own.
+    smallest number of whole tokens that reaches it), or less where the next token would not fit beside that. A token larger than the limit is a piece of its own.
     """
     if not 0 <= overlap < limit:
         raise ValueError("0 <= overlap < limit")
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else np.empty(0, np.int64)
-    pieces, begin, n = [], 0, len(ends)
+    pieces, begin, last, n = [], 0, 0, len(ends)
     while begin < n:
         stop = int(np.searchsorted(ends, starts[begin] + limit, "right"))  # tokens that fit
         if stop >= n:
             pieces.append((begin, n, "end"))
             break
-        # a cut must leave something new behind the overlap
-        first = int(np.searchsorted(starts, starts[begin] + overlap, "right"))
         k = int(np.searchsorted(boundaries, stop, "right")) - 1
-        cut, how = (int(boundaries[k]), "boundary") if k >= 0 and boundaries[k] >= first + (first <= begin) else (max(stop, begin + 1), "hard")
+        # a boundary inside the overlap would leave a piece without anything new
+        cut, how = (int(boundaries[k]), "boundary") if k >= 0 and boundaries[k] > last else (max(stop, begin + 1), "hard")
         pieces.append((begin, cut, how))
         if cut >= n:
             break
+        last = cut
         back = int(np.searchsorted(starts, ends[cut - 1] - overlap, "right")) - 1
-        begin = max(begin + 1, min(cut, back)) if overlap else cut
+        room = int(np.searchsorted(starts, ends[cut] - limit, "left"))  # so that the next piece gets its first new token
+        begin = max(begin + 1, min(cut, max(back, room))) if overlap else cut
     return pieces
 
 
