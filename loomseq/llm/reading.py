@@ -243,6 +243,6 @@ def demanding(levels: DataFrame, conf: ReadingConf = ReadingConf()) -> DataFrame
     prose keeps the exact limits of words, words per sentence and letters per word."""
     least = float(np.log2(conf.words_per_sentence * conf.letters_per_word * conf.bits_per_letter))
     # the curve is monotone: the lowest level from that score on is the level of the score
-    floor = levels.where(F.col("score") >= least).agg(F.min("level").alias("floor"))
-    candidates = levels.crossJoin(F.broadcast(floor)).where("level is null or level >= floor")  # floor is one row
-    return candidates.drop("floor").where((F.col("n_words") >= conf.least_words) & (F.col("words_per_sentence") >= conf.words_per_sentence) & (F.col("letters_per_word") >= conf.letters_per_word))
+    floor = levels.where(F.col("score") >= least).agg(F.min("level")).first()[0]
+    candidates = levels if floor is None else levels.where(F.col("level").isNull() | (F.col("level") >= floor))
+    return candidates.where((F.col("n_words") >= conf.least_words) & (F.col("words_per_sentence") >= conf.words_per_sentence) & (F.col("letters_per_word") >= conf.letters_per_word))
