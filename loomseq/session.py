@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,25 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/loomseq/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in as many even partitions as its work needs, where rows are few bytes but long to compute: ``per_task``
+    rows each, but no more partitions than twice the cores as long as those hold under four times as many rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    need = -(-max(1, rows) // per_task)
+    return df.repartition(max(1, min(need, 2 * cores), need // 4))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, so that tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomseq_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-loomseq-")) / "loomseq.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, str(Path("loomseq") / f.relative_to(home)))
+    sc.addPyFile(str(target))
+    sc._loomseq_shipped = True
