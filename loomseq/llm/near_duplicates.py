@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomseq.llm._dna import block_similarities, clean_sequence, kmer_set, strand_free
 from loomseq.llm.components import connected_components
-from loomseq.session import materialize
+from loomseq.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -110,13 +110,12 @@ def _verify(conf: NearDupConf):
 
 def similar_texts(texts: DataFrame, conf: NearDupConf = NearDupConf()) -> DataFrame:
     """``rep_a, rep_b, jaccard, similarity`` of every pair of different ``texts (rep, seq)`` over the thresholds."""
-    keyed = materialize(texts.mapInPandas(_band_keys(conf), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key")), "bands")
+    keyed = materialize(spread(texts, texts.count(), 500).mapInPandas(_band_keys(conf), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key")), "bands")
     pairs = materialize(_bucket_pairs(keyed, conf.block), "candidates")
     a = texts.select(F.col("rep").alias("rep_a"), F.col("seq").alias("seq_a"))
     b = texts.select(F.col("rep").alias("rep_b"), F.col("seq").alias("seq_b"))
     both = pairs.join(a, "rep_a").join(b, "rep_b")
-    parts = max(both.sparkSession.sparkContext.defaultParallelism * 2, pairs.count() // 20_000)
-    return both.repartition(parts).mapInPandas(_verify(conf), "rep_a long, rep_b long, jaccard double, similarity double")
+    return spread(both, pairs.count(), 200).mapInPandas(_verify(conf), "rep_a long, rep_b long, jaccard double, similarity double")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", seq_col: str = "sequence", conf: NearDupConf = NearDupConf()) -> DataFrame:
