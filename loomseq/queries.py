@@ -490,3 +490,85 @@ def trimmed_consensus(spark: SparkSession, d: str) -> DataFrame:
 
     cons = materialize(consensus_per_read(spark, d), "consensus")
     return pipeline.trim(pipeline.match_primers(table(spark, d, "primers"), cons.select("id", "sequence")), cons)
+
+
+# --- clusters ----------------------------------------------------------------------------------------------------------
+
+
+def _truth_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between pseudo references by their given hits on each other."""
+    ids = table(spark, d, "pseudo_ref").select(F.upper(F.trim("id")).alias("database_id")).distinct()
+    inner = hits(spark, d).withColumn("query_id", F.upper(F.trim("query_id"))).join(ids, "database_id", "left_semi").join(ids.withColumnRenamed("database_id", "query_id"), "query_id", "left_semi")
+    return matrix.to_distance(matrix.symmetric(matrix.feature_long(inner.where("query_id <> database_id"), "similarity")))
+
+
+_DIST = f"""{_HITS}, pr as (select distinct upper(trim(id)) as id from pseudo_ref),
+sims as (select upper(trim(query_id)) as r, database_id as c, max_by(similarity, hit_id) as v from hits where upper(trim(query_id)) in (select id from pr) and database_id in (select id from pr) and upper(trim(query_id)) <> database_id and similarity is not null group by 1, 2),
+half as (select least(r, c) as a, greatest(r, c) as b, 1 - coalesce(min(nullif(v, 0)), 0) as value from sims group by 1, 2),
+dist as (select a as row_id, b as col_id, value from half union all select b, a, value from half)"""
+
+
+@query(
+    f"""with recursive {_DIST}, e as (select row_id, col_id from dist where value <= 0.1), reach as (select distinct row_id as id, row_id as other from dist union select r.id, e.col_id from reach r join e on e.row_id = r.other),
+g as (select id, min(other) as cluster_id, count(*) as size from reach group by id) select id, cluster_id, size from g"""
+)
+def single_linkage(spark: SparkSession, d: str) -> DataFrame:
+    from loomseq.operators.graph import single_linkage as linkage
+
+    return linkage(_truth_distances(spark, d), 0.1)
+
+
+@query(
+    f"""with recursive {_DIST}, near as (select * from dist where value <= 0.15), cores as (select row_id as id from near group by row_id having count(*) + 1 >= 4),
+e as (select row_id, col_id from near where row_id in (select id from cores) and col_id in (select id from cores)),
+reach as (select id, id as other from cores union select r.id, e.col_id from reach r join e on e.row_id = r.other), g as (select id, min(other) as cluster_id from reach group by id),
+border as (select n.col_id as id, min({{value: n.value, row_id: n.row_id, cluster_id: g.cluster_id}}).cluster_id as cluster_id from near n join g on g.id = n.row_id where n.col_id not in (select id from cores) group by n.col_id)
+select i.id, coalesce(g.cluster_id, b.cluster_id) as cluster_id, g.id is not null as core from (select distinct row_id as id from dist) i left join g on g.id = i.id left join border b on b.id = i.id"""
+)
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from loomseq.operators.graph import density_clusters as density
+
+    return density(_truth_distances(spark, d), 0.15, 4)
+
+
+@query()
+def density_ordering(spark: SparkSession, d: str) -> DataFrame:
+    """The density ordering inside every single-linkage cluster of the pseudo references."""
+    from loomseq.operators.cluster import density_order
+
+    dist = _truth_distances(spark, d)
+    linked = single_linkage(spark, d).where("size > 2")
+    long = dist.join(linked.select(F.col("id").alias("row_id"), "cluster_id"), "row_id").join(linked.select(F.col("id").alias("col_id"), F.col("cluster_id").alias("_o")), "col_id").where("cluster_id = _o")
+    return density_order(long.select(F.col("cluster_id").alias("linked"), "row_id", "col_id", "value"), "linked", 2, 0.2)
+
+
+@query()
+def kmeans_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Relative scores of all hits in three bins."""
+    from loomseq.operators.cluster import kmeans_bins as bins
+
+    rows = H.relative_to_target(hits(spark, d).where("s1 > 0")).select("hit_id", "relative")
+    return bins(rows, "relative", 3, seed=1).select("hit_id", "bin")
+
+
+@query()
+def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    from loomseq.operators.cluster import kmeans
+
+    return kmeans(table(spark, d, "embeddings"), "embedding", 8, seed=1).select("vec_id", "cluster_id", r6("inertia").alias("inertia"))
+
+
+@query()
+def pca_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    from loomseq.operators.cluster import pca
+
+    return pca(table(spark, d, "embeddings"), "embedding", 2).select("vec_id", r6(F.col("components")[0]).alias("f_0"), r6(F.col("components")[1]).alias("f_1"))
+
+
+@query()
+def cluster_centres(spark: SparkSession, d: str) -> DataFrame:
+    """One round of split, sweep and merge over the pseudo references."""
+    from loomseq.operators.cluster import perform_cluster
+
+    seqs = table(spark, d, "pseudo_ref").where("id is not null and sequence is not null").select("id", dna.degap(F.col("sequence")).alias("sequence"))
+    return perform_cluster(seqs)
