@@ -160,14 +160,24 @@ def _block_edits(a: list[str], b: list[str], jump: int) -> np.ndarray:
     return out
 
 
-def block_similarities(a: list[str], b: list[str], k: int = 9, least: float = 0.009, jump: int = 6, batch: int = 32) -> np.ndarray:
+def _banded(places: np.ndarray, width: int = 32) -> int:
+    """Common k-mers in the four fullest diagonal bands; ``places``: where in the other text each k-mer is, 0 for none."""
+    at = np.flatnonzero(places)
+    if not len(at):
+        return 0
+    full = np.bincount((places[at] - at + len(places)) // width)
+    return int(np.sort(full)[-4:].sum())
+
+
+def block_similarities(a: list[str], b: list[str], k: int = 9, least: float = 0.02, jump: int = 6, batch: int = 32) -> np.ndarray:
     """1 - edits / letters of the shorter text for each pair, with whole pieces moved at no cost, on the better strand.
 
-    The edits are those of a script that covers both texts, so the similarity is never overrated. Pairs that share
-    fewer k-mers than ``least`` letters of the shorter text get 0 (at 600 letters 5; unrelated texts share 1.5, texts
-    of similarity 0.62 about 10); texts too short for that are compared without moved pieces.
+    The edits are those of a script that covers both texts, so the similarity is never overrated. Pairs whose four
+    fullest diagonal bands hold fewer common k-mers than ``least`` of the shorter text's letters get 0 (at 640 letters
+    13; unrelated texts hold 5, rarely 11, texts of similarity 0.61 at least 28); texts too short for that are compared
+    without moved pieces.
     """
-    out, mark = np.zeros(len(a)), np.zeros(4**k, bool)
+    out, place = np.zeros(len(a)), np.zeros(4**k, np.int32)
     ready: list[tuple[int, str, str]] = []
     for n, (x, y) in enumerate(zip(a, b)):
         if len(x) > len(y):
@@ -179,9 +189,10 @@ def block_similarities(a: list[str], b: list[str], k: int = 9, least: float = 0.
             out[n] = max(0.0, 1 - min(edit_distance(x, y), edit_distance(back, y)) / len(x))
             continue
         seen = both_kmers(y, k)[0]
-        mark[seen] = True
-        fwd, rev = (int(mark[c].sum()) for c in both_kmers(x, k))
-        mark[seen] = False
+        place[seen] = np.arange(1, len(seen) + 1)
+        own, other = both_kmers(x, k)
+        fwd, rev = _banded(place[own]), _banded(place[other[::-1]])
+        place[seen] = 0
         if max(fwd, rev) >= least * len(x):
             ready.append((n, x if fwd >= rev else back, y))
     ready.sort(key=lambda t: (len(t[1]), len(t[2])))
