@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-READS = T._parse_datatype_string("id string, sequence string, quality string, read_no int, ch int, start_time timestamp, length int, header string")
-SEQUENCES = T._parse_datatype_string("id string, sequence string")
-PRIMERS = T._parse_datatype_string("fwd_id string, fwd_seq string, rev_id string, rev_seq string")
-HITS = T._parse_datatype_string(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+READS = _struct("id string, sequence string, quality string, read_no int, ch int, start_time timestamp, length int, header string")
+SEQUENCES = _struct("id string, sequence string")
+PRIMERS = _struct("fwd_id string, fwd_seq string, rev_id string, rev_seq string")
+HITS = _struct(
     "query_id string, q_len int, q_start int, q_end int, orientation string, database_id string, t_len int, t_start int, t_end int, n_match int, tot int, mapq int, "
     "tp string, cm int, s1 int, s2 int, nm int, as_score int, ms int, nn int, rl int, cigar string, match_score double, similarity double"
 )

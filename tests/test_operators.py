@@ -1,0 +1,275 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomseq import schema
+from loomseq.operators import cluster, graph, hits, intervals, matrix, stats
+from loomseq.operators.align import AlignConf, align, approximate_matches, match_patterns
+from loomseq.operators.consensus import consensus_per_group, vote
+from loomseq.plans import pipeline
+
+
+def dna(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def mutate(rng, s, rate):
+    out = []
+    for c in s:
+        x = rng.random()
+        if x < rate / 3:
+            continue
+        out.append(rng.choice("ACGT") if x < 2 * rate / 3 else c)
+        if 2 * rate / 3 <= x < rate:
+            out.append(rng.choice("ACGT"))
+    return "".join(out)
+
+
+def back(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def islands_by_scan(rows, thresh):
+    out, num, stop, last = {}, 0, None, None
+    for g, a, b, s, t in sorted(rows, key=lambda r: (r[0], r[1], r[4])):
+        if g != last:
+            num, stop, last = 1, b, g
+        elif a > stop or (a > stop - thresh and b - a > 2 * thresh):
+            num, stop = num + 1, b
+        else:
+            stop = max(stop, b)
+        out[t] = (g, num)
+    return out
+
+
+@pytest.mark.parametrize("thresh", [0, 5, 20])
+def test_islands_and_overlaps_against_scans(spark, thresh):
+    rng = random.Random(thresh)
+    rows = []
+    for t in range(600):
+        a = rng.randrange(400)
+        rows.append((f"r{rng.randrange(25)}", a, a + rng.randint(1, 60), rng.randrange(20), t))
+    df = spark.createDataFrame(rows, "query_id string, q_start int, q_end int, as_score int, hit_id int").withColumn("reach", F.lit(1))
+    want = islands_by_scan(rows, thresh)
+    got = intervals.islands(df, thresh=thresh).collect()
+    assert {r["hit_id"]: (r["query_id"], r["cluster_num"]) for r in got} == want
+    size = {}
+    for v in want.values():
+        size[v] = size.get(v, 0) + 1
+    keep = set()
+    for isl, n in size.items():
+        own = [r for r in rows if want[r[4]] == isl]
+        if n == 1:
+            keep.add(own[0][4])
+            continue
+        done = []
+        for r in sorted((r for r in own if r[2] - r[1] > 2 * thresh), key=lambda r: (r[3], r[1], r[4]), reverse=True):
+            if all(k[2] < r[1] + thresh or k[1] > r[2] - thresh for k in done):
+                done.append(r)
+        keep |= {r[4] for r in done}
+    left = intervals.remove_overlaps(df, "as_score", thresh=thresh)
+    assert {r["hit_id"] for r in left.collect()} == keep and left.columns == df.columns
+    assert intervals.remove_overlaps(df.limit(0), "as_score").count() == 0
+
+
+def test_fragment_bounds_stay_in_their_read(spark):
+    rows = [("a", 0, 100, "+", 1), ("a", 104, 200, "+", 2), ("a", 210, 300, "-", 3), ("b", 50, 90, "-", 4)]
+    df = spark.createDataFrame(rows, "query_id string, q_start int, q_end int, orientation string, hit_id int").withColumn("q_len", F.lit(320))
+    got = {r["hit_id"]: (r["frag_no"], r["s1"], r["s2"]) for r in intervals.fragment_bounds(df, 4, 5).collect()}
+    assert got == {1: (0, 0, 102), 2: (1, 102, 200), 3: (2, 210, 300), 4: (0, 50, 90)}
+
+
+def pairs_by_scan(rows):
+    best = None
+    i = 0
+    while i < len(rows):
+        r = rows[i]
+        if i + 1 < len(rows) and r["o"] == "+" and rows[i + 1]["o"] == "-" and rows[i + 1]["p"] != r["p"]:
+            cand = (r["s"] + rows[i + 1]["s"], (r["k"], rows[i + 1]["k"]))
+            i += 2
+        else:
+            cand = (r["s"], (r["k"],))
+            i += 1
+        if best is None or cand[0] > best[0]:
+            best = cand
+    return best[1]
+
+
+def test_primer_pairs_against_a_scan(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for q in range(120):
+        own = []
+        for n in range(rng.randint(1, 8)):
+            own.append({"k": q * 100 + n, "o": rng.choice("+-"), "p": rng.choice(("fwd", "rev")), "s": rng.randrange(50)})
+        want[f"q{q}"] = pairs_by_scan(own)
+        rows += [(f"q{q}", r["k"], r["p"], r["o"], r["k"] % 100 * 10, r["k"] % 100 * 10 + 8, r["s"]) for r in own]
+    df = spark.createDataFrame(rows, "query_id string, hit_id int, pdir string, orientation string, q_start int, q_end int, as_score int")
+    df = df.withColumns({"database_id": F.concat(F.lit("h"), "hit_id"), "n_match": F.lit(1), "tot": F.lit(2), "cigar": F.lit(None).cast("string")})
+    got = {r["id"]: tuple(sorted(int(x[1:]) for x in (r["fwd_primer"], r["rev_primer"]) if x)) for r in hits.primer_pairs(df).collect()}
+    assert got == want
+
+
+def test_hits_selection(spark):
+    rows = [(1, "a", "x", 5, 4), (2, "a", "y", 5, 1), (3, "a", "z", None, 2), (4, "b", "x", None, 2)]
+    df = spark.createDataFrame(rows, "hit_id int, query_id string, database_id string, as_score int, s1 int")
+    assert {r["hit_id"] for r in hits.best_hits(df, ["query_id"]).collect()} == {1, 4}
+    assert {r["hit_id"]: r["rank"] for r in hits.rank_hits(df).collect()} == {3: 0, 1: 1, 2: 2, 4: 0}
+    assert {r["hit_id"]: r["chimeric"] for r in hits.flag_chimeras(df).collect()} == {1: True, 2: True, 3: True, 4: False}
+    assert {r["hit_id"]: round(r["weight"], 3) for r in hits.hit_weights(df).collect()} == {1: 0.5, 2: 0.2, 3: 0.333, 4: 0.5}
+    assert {r["hit_id"]: r["relative"] for r in hits.relative_to_target(df).collect()} == {1: 1.0, 2: 1.0, 3: 1.0, 4: 0.5}
+
+
+def test_matrix(spark):
+    long = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.0), ("a", "a", 1.0), ("c", "a", 0.2)], "row_id string, col_id string, value double")
+    small = {(r["row_id"], r["col_id"]): r["value"] for r in matrix.symmetric(long).collect()}
+    assert small == {("a", "b"): 0.5, ("b", "a"): 0.5, ("a", "a"): 1.0, ("c", "a"): 0.2, ("a", "c"): 0.2}
+    far = {(r["row_id"], r["col_id"]): r["value"] for r in matrix.to_distance(long).collect()}
+    assert far[("a", "a")] == 0 and far[("a", "b")] == 0.5
+    wide = {r["row_id"]: (r["a"], r["b"]) for r in matrix.feature_wide(long, ["a", "b"]).collect()}
+    assert wide == {"a": (1.0, 0.5), "b": (0.0, 0.0), "c": (0.2, 0.0)}
+    rng = np.random.default_rng(1)
+    m = rng.random((6, 4))
+    m[rng.random((6, 4)) < 0.3] = 0
+    rows = [(f"r{i}", f"c{j}", float(m[i, j])) for i in range(6) for j in range(4)]
+    got = {(r["col_a"], r["col_b"]): r["value"] for r in matrix.cosine_columns(spark.createDataFrame(rows, "row_id string, col_id string, value double")).collect()}
+    for (a, b), v in got.items():
+        x, y = m[:, int(a[1])], m[:, int(b[1])]
+        assert v == pytest.approx(1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y), abs=1e-9)
+
+
+def test_stats(spark):
+    df = spark.createDataFrame([(i, f"g{i % 3}", i * 40) for i in range(60)], "k long, g string, n int")
+    picked = stats.sample_per_group(df, "g", F.col("k"), 5, 1, "k")
+    assert {r["k"] for r in picked.collect()} == {r["k"] for r in stats.sample_per_group(df.repartition(7), "g", F.col("k"), 5, 1, "k").collect()} and picked.count() == 15
+    assert stats.replicate(df.where("k < 4"), F.col("k") - 1).count() == 3
+    assert {r["bin"]: r["n"] for r in stats.length_histogram(df, F.col("n")).where("bin < 300").collect()} == {0: 3, 100: 2, 200: 3}
+    over = spark.createDataFrame([("f1", "a"), ("f1", "b"), ("f2", "b"), ("f2", "b"), ("f3", "z"), (None, "a")], "file string, id string")
+    assert [tuple(r) for r in stats.key_overlap(over, "file", "id").collect()] == [("f1", 2, 1, "f2", 1, 0, 1)]
+
+
+def test_align_finds_noisy_copies_on_both_strands(spark):
+    rng = random.Random(4)
+    refs = [(f"h{i}", dna(rng, 300)) for i in range(4)]
+    reads, truth = [], {}
+    for i in range(8):
+        h, s = refs[i % 4]
+        part = mutate(rng, s, 0.08)
+        truth[f"q{i}"] = (h, "-" if i % 2 else "+")
+        reads.append((f"q{i}", dna(rng, 50) + (back(part) if i % 2 else part) + dna(rng, 50)))
+    reads += [("none", dna(rng, 300)), ("empty", ""), ("null", None)]
+    q, t = spark.createDataFrame(reads, "id string, sequence string"), spark.createDataFrame(refs, "id string, sequence string")
+    conf = AlignConf(k=11, window=1, min_seeds=3)
+    got = hits.best_hits(align(q, t, conf), ["query_id"]).collect()
+    assert {r["query_id"]: (r["database_id"], r["orientation"]) for r in got} == truth
+    for r in got:
+        assert abs(r["q_start"] - 50) < 12 and r["t_start"] < 12 and r["t_len"] - r["t_end"] < 12 and r["similarity"] > 0.85
+    assert align(q.limit(0), t, conf).count() == 0
+
+
+def test_approximate_matches():
+    text = "GGGG" + "ACGTTACGTA" + "CCCCCCC" + "ACGTACGTA" + "GG"
+    assert approximate_matches("ACGTTACGTA", text, 1) == [(4, 14, 0), (21, 30, 1)]
+    assert approximate_matches("ACGNNACGTA", text, 0) == [(4, 14, 0)]
+    assert approximate_matches("ACGT", "", 1) == []
+
+
+def test_vote_reduces_errors():
+    rng = random.Random(6)
+    for _ in range(3):
+        h = dna(rng, 200)
+        copies = [mutate(rng, h, 0.1) for _ in range(9)]
+        single = np.mean([sum(x != y for x, y in zip(c, h)) for c in copies])
+        made = vote(copies)
+        from loomseq.operators._dp import align_pairs
+
+        edits = align_pairs([made], [h], "global")[0][6]
+        assert edits < 8 and edits < single
+    assert vote(["ACGT"] * 5) == "ACGT" and vote([]) == "" and vote(["ACGT", ""]) == "ACGT"
+
+
+def test_consensus_groups(spark):
+    df = spark.createDataFrame([("a", "ACGTACGT", "IIIIIIII"), ("a", "ACGTACGT", None), ("a", "ACGAACGT", "!!!!!!!!"), ("b", "", ""), (None, "ACG", "III")], "id string, sequence string, quality string")
+    assert [tuple(r) for r in consensus_per_group(df).collect()] == [("a", 3, "ACGTACGT")]
+
+
+def test_pipeline_on_synthetic_concatemers(spark):
+    rng = random.Random(11)
+    fwd, rev = "ACGGTTACCAGTACGGATCA", "TTGGCCAATCGCATTACGGT"
+    haps = [(f"h{i}", dna(rng, 260)) for i in range(3)]
+    reads = []
+    for i in range(6):
+        unit = fwd + haps[i % 3][1] + back(rev)
+        copies = [mutate(rng, unit if rng.random() < 0.8 else back(unit), 0.06) for _ in range(5)]
+        s = dna(rng, 20) + "".join(copies)
+        reads.append((f"r{i}", s, "5" * len(s)))
+    df = spark.createDataFrame(reads, "id string, sequence string, quality string")
+    primers = spark.createDataFrame([("f", fwd, "r", rev), ("x", None, "y", "ACGT")], "fwd_id string, fwd_seq string, rev_id string, rev_seq string")
+    units = [(h, fwd + s + back(rev)) for h, s in haps]
+    ref = spark.createDataFrame(units, "id string, sequence string")
+    out = pipeline.run(df, primers, ref)
+    trimmed = {r["id"]: r for r in out["trmc"].collect()}
+    assert len(trimmed) == 6
+    from loomseq.operators._dp import align_pairs
+
+    for i, r in trimmed.items():
+        h = haps[int(i[1:]) % 3][1]
+        assert min(align_pairs([r["sequence"]], [x], "global")[0][6] for x in (h, back(h))) <= 8
+        assert r["n_frags"] == 5
+    assert {r["chimeric"] for r in pipeline.accuracy(out["trmc"].select("id", "sequence"), ref).collect()} == {False}
+    pr = pipeline.pseudo_references(primers, df.limit(0))
+    assert pr.count() == 0
+
+
+def test_patterns_in_reads(spark):
+    p = "ACGGTTACCAGTACGGATCA"
+    df = spark.createDataFrame([("a", "TT" + p + "GG" + back(p)), ("b", "T" * 50), ("c", None)], "id string, sequence string")
+    got = {(r["query_id"], r["orientation"], r["q_start"], r["nm"]) for r in match_patterns(df, [("p", "fwd", p[:9] + " " + p[9:])], 0.1).collect()}
+    assert got == {("a", "+", 2, 0), ("a", "-", 24, 0)}
+
+
+def test_groups_and_density(spark):
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(220)] + [(f"z{i:03d}", f"z{i + 1:03d}") for i in range(120)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r["node"]: r["root"] for r in graph.linked_groups(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert graph.linked_groups(spark.createDataFrame([], "a string, b string")).count() == 0
+    x = np.sort(np.concatenate([np.random.default_rng(1).normal(c, 0.1, 12) for c in (0, 5, 9)] + [[20.0]]))
+    rows = [(f"p{i:02d}", f"p{j:02d}", float(abs(x[i] - x[j]))) for i in range(37) for j in range(37) if i != j]
+    long = spark.createDataFrame(rows, "row_id string, col_id string, value double")
+    dens = {r["id"]: r["cluster_id"] for r in graph.density_clusters(long, 0.5, 3).collect()}
+    assert dens["p36"] is None and len(set(dens.values())) == 4
+    lab = cluster.density_order(long.withColumn("g", F.lit("all")), "g", 3, 0.5).collect()
+    assert {tuple(sorted(r["id"] for r in lab if r["cluster_id"] == c)) for c in range(3)} == {tuple(sorted(i for i, v in dens.items() if v == c)) for c in set(dens.values()) - {None}}
+    assert {r["id"] for r in graph.single_linkage(long, 0.5).where("size = 1").collect()} == {"p36"}
+
+
+def test_cluster_centres_cover_the_haplotypes(spark):
+    rng = random.Random(5)
+    haps = [dna(rng, 220) for _ in range(3)]
+    seqs = [(f"s{i:02d}", mutate(rng, haps[i % 3], 0.05)) for i in range(24)]
+    got = cluster.perform_cluster(spark.createDataFrame(seqs, "id string, sequence string")).collect()
+    from loomseq.operators._dp import align_pairs
+
+    near = [min(align_pairs([r["sequence"]], [h], "global")[0][6] for h in haps) for r in got]
+    best = [min(align_pairs([r["sequence"]], [h], "global")[0][6] for r in got) for h in haps]
+    assert max(best) <= 8 and len(got) <= 8 and max(near) <= 30
+
+
+def test_schema_checks(spark):
+    assert schema.sequence_set_kind(spark.createDataFrame([], "id string, sequence string, quality string")) == "fastq"
+    with pytest.raises(ValueError):
+        schema.require(spark.createDataFrame([], "a string"), "a", "b")
