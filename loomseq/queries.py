@@ -564,11 +564,3 @@ def pca_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
     return pca(table(spark, d, "embeddings"), "embedding", 2).select("vec_id", r6(F.col("components")[0]).alias("f_0"), r6(F.col("components")[1]).alias("f_1"))
 
-
-@query()
-def cluster_centres(spark: SparkSession, d: str) -> DataFrame:
-    """One round of split, sweep and merge over the pseudo references."""
-    from loomseq.operators.cluster import perform_cluster
-
-    seqs = table(spark, d, "pseudo_ref").where("id is not null and sequence is not null").select("id", dna.degap(F.col("sequence")).alias("sequence"))
-    return perform_cluster(seqs)
