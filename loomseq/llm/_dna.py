@@ -100,21 +100,26 @@ def _block_edits(a: list[str], b: list[str], jump: int) -> np.ndarray:
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     wide, long = int(la.max()), int(lb.max())
     bits = max(10, int(max(wide, long)).bit_length())
-    kind = np.int32 if bits == 10 else np.int64
+    # no cell of a row costs more than one insertion a column and a jump, so a barrier above that is never the least
+    beyond, off = long + jump + 4, 4
+    kind = np.int32 if beyond + long + jump + off + 4 < 1 << 31 - 2 * bits else np.int64
     one, low = kind(1 << 2 * bits), kind((1 << 2 * bits) - 1)
-    far = kind(400) * one
+    far = kind(beyond) * one
     ca, cb = _codes_of(a, wide + 3), _codes_of(b, long)
     letters = np.unique(cb)
     rank = np.zeros(256, np.int64)
     rank[letters] = np.arange(len(letters))
     rows = np.arange(len(a))
     # a row has the places 0 to wide of one pair and two cells that keep it apart from the next row; costs by letter
+    # (past the end of a, ``off`` a letter is enough: such a cell stays dearer than the last place of a)
     cost = np.full((len(a), len(letters), wide + 3), far, kind)
     cost[:, :, 1:] = np.where((ca[:, None, :-1] != letters[None, :, None]), one, kind(0))
-    cost[:, :, 1:][np.broadcast_to((ca == 0)[:, None, :-1], cost[:, :, 1:].shape)] = far
+    cost[:, :, 1:][np.broadcast_to((ca == 0)[:, None, :-1], cost[:, :, 1:].shape)] = kind(off) * one
+    cost[:, :, -2:] = far
     cost = cost.reshape(-1, wide + 3)
     place = np.broadcast_to(np.arange(wide + 3, dtype=kind), (len(a), wide + 3)).copy()
-    place[place > la[:, None]] += far
+    place[place > la[:, None]] += kind(off) * one
+    place[:, -2:] += far
     cell, new, t1, t2 = place.copy(), np.empty_like(place), np.empty_like(place), np.empty_like(place)
     came = np.zeros((len(a), long + 1), kind)  # the cell from which a piece that begins in a column jumps
     at = np.zeros((len(a), long + 1), np.int64)
@@ -123,7 +128,7 @@ def _block_edits(a: list[str], b: list[str], jump: int) -> np.ndarray:
     f1, f2 = t1.reshape(-1), t2.reshape(-1)
     for j in range(long):
         if j:
-            best = cell.argmin(axis=1)
+            best = cell[:, : wide + 1].argmin(axis=1)
             least = cell[rows, best]
             came[:, j], at[:, j] = least, best
             np.add(place, ((least & ~low) + kind(jump) * one + kind(j << bits))[:, None], out=t2)
@@ -141,7 +146,7 @@ def _block_edits(a: list[str], b: list[str], jump: int) -> np.ndarray:
         cell, new = new, cell
         if j + 1 in last:
             ends = np.flatnonzero(lb == j + 1)
-            final_at[ends] = cell[ends].argmin(axis=1)
+            final_at[ends] = cell[ends, : wide + 1].argmin(axis=1)
             final[ends] = cell[ends, final_at[ends]]
     out = np.zeros(len(a), np.int64)
     for n in range(len(a)):

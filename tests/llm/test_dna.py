@@ -72,3 +72,16 @@ def test_short_empty_and_odd_texts():
     assert _dna.block_similarity("ACGTTT", "AAACGT") == 1  # reverse complement
     assert 0 <= _dna.block_similarity("N" * 500, "N" * 500) <= 1
     assert _dna.block_similarity("A" * 3000, "A" * 2990) > 0.9
+
+
+def test_long_texts_with_many_edits():
+    rng = random.Random(9)
+    for n, rate in ((1500, 0.33), (5000, 0.1)):
+        a = dna(rng, n)
+        b = mutate(rng, a, rate)
+        plain = _dna.edit_distance(a, b)
+        assert plain > 400
+        got = _dna.block_similarities([a, a[: n // 2], a], [b, b, a + dna(rng, 1200)])
+        assert abs(got[0] - (1 - plain / min(n, len(b)))) < 0.05
+        assert 0 <= got[1] < got[0] and 0 <= got[2] < 1
+    assert 0 < _dna._block_edits([dna(rng, 700)], [dna(rng, 3000)], 6)[0] <= 3700
