@@ -1,15 +1,14 @@
 """Problem 1: records that are equal but for small edits, moved pieces or strand.
 
 Method: circulant MinHash. One permutation spreads the k-mers, a second one, circularly shifted by 1, 2, 3, ..., gives
-every signature coordinate. Signatures are cut into bands; records that share a band are compared by the exact Jaccard
-similarity of their k-mer sets, and the survivors by an exact count of edits.
+every signature coordinate. Signatures are cut into bands; records that share enough bands are compared by the exact
+Jaccard similarity of their k-mer sets, and the survivors by a count of edits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,37 +22,46 @@ from loomseq.session import materialize, spread
 
 @dataclass(frozen=True)
 class NearDupConf:
-    """k: letters of a shingle (4 ** k is the size of the permutations). bands x rows: signature coordinates.
-
-    A pair of Jaccard J shares a band with probability 1 - (1 - J ** rows) ** bands. With edits spread evenly over 500 to
-    680 letters the Jaccard at the limit 0.90 is about 0.21 and spreads from 0.08 on; over that spread, and with the least
-    Jaccard, a pair at 0.90 is found with probability 0.999, closer pairs more often. Edits in clusters leave more k-mers
-    whole; texts of under 500 letters spread more and are lost more often (test_pairs_at_the_limit has the sum).
-    jaccard: least similarity of the k-mer sets, a shortcut before the edits are counted. similarity: least 1 - edits /
-    letters.
+    """k: letters of a shingle; the permutations are of its 4 ** k codes. bands x rows: signature coordinates. agree: bands
+    that two records share at least.
+
+    A pair of Jaccard J shares a band with probability J ** rows. With edits spread evenly the Jaccard at the limit 0.90 is
+    0.115 on average and spreads from 0.03 on; over that spread a pair at 0.90 is found with probability 0.9991 (640
+    letters), 0.9985 (500) and 0.993 (300), at 0.92 with 0.9995 or more from 300 letters on. Edits in clusters leave more
+    shingles whole. One long shingle a band keeps the bands few and chance meetings rare; that several of them agree
+    takes the place of rows. test_pairs_at_the_limit has the sum.
+    jaccard: least similarity of the shingle sets, before the edits are counted. similarity: least 1 - edits / letters.
     block: rows of one bucket that a task compares with as many others.
     """
 
-    k: int = 10
-    bands: int = 288
-    rows: int = 2
-    jaccard: float = 0.08
+    k: int = 15
+    bands: int = 176
+    rows: int = 1
+    agree: int = 3
+    jaccard: float = 0.025
     similarity: float = 0.90
     block: int = 256
     seed: int = 7
 
 
-@lru_cache(maxsize=2)
-def _permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.permutation(4**k).astype(np.int32), rng.permutation(4**k).astype(np.int32)
+def _permute(codes: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """A permutation of the numbers below 2 ** bits: odd multipliers and shifts, each of which can be undone."""
+    kind = np.uint32 if bits <= 32 else np.uint64
+    mask = kind((1 << bits) - 1)
+    x = codes.astype(kind)
+    for factor in np.random.default_rng(seed).integers(1 << 20, 1 << 30, 2, np.uint32):
+        x *= kind(factor | 1)
+        x &= mask
+        x ^= x >> kind(bits // 2)
+    return x
 
 
 def circulant_signature(codes: np.ndarray, conf: NearDupConf) -> np.ndarray:
     """Signature coordinate s is the least second-permutation value over the set, read s places further round."""
-    first, second = _permutations(conf.k, conf.seed)
-    at = (first[codes][None, :] + np.arange(1, conf.bands * conf.rows + 1)[:, None]) & (4**conf.k - 1)
-    return second[at].min(axis=1)
+    bits = 2 * conf.k
+    first = _permute(codes, bits, conf.seed)
+    at = (first[None, :] + np.arange(1, conf.bands * conf.rows + 1, dtype=first.dtype)[:, None]) & first.dtype.type((1 << bits) - 1)
+    return _permute(at, bits, conf.seed + 1).min(axis=1).astype(np.int64)
 
 
 def _band_keys(conf: NearDupConf):
@@ -78,21 +86,32 @@ def _band_keys(conf: NearDupConf):
 
 
 def distinct_texts(df: DataFrame, id_col: str = "id", seq_col: str = "sequence") -> tuple[DataFrame, DataFrame]:
-    """Members ``id, rep`` and texts ``rep, seq``, one for each different strand-free text; blank and null ones leave."""
+    """Members ``id, rep`` and texts ``rep, seq``, one for each different strand-free text; blank and null ones leave.
+
+    ``rep`` numbers the texts as they are written. Members find their text by two 64-bit hashes, which of 1e12 texts no
+    two share but by a chance of 1e-15.
+    """
     rows = df.select(F.col(id_col).cast("string").alias("id"), strand_free(clean_sequence(F.col(seq_col))).alias("seq")).where("id is not null and seq is not null")
-    rows = rows.withColumn("rep", F.xxhash64("seq"))
-    return rows.select("id", "rep").distinct(), rows.select("rep", "seq").distinct()
+    rows = rows.select("id", "seq", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit("2"), F.col("seq")).alias("h2"))
+    texts = materialize(rows.groupBy("h1", "h2").agg(F.min("seq").alias("seq")).withColumn("rep", F.monotonically_increasing_id()), "texts")
+    members = rows.select("id", "h1", "h2").distinct().join(texts.select("rep", "h1", "h2"), ["h1", "h2"])
+    return materialize(members.select("id", "rep"), "members"), texts.select("rep", "seq")
 
 
-def _bucket_pairs(keyed: DataFrame, block: int) -> DataFrame:
-    """Pairs of different texts in one bucket. A bucket of many rows is cut into blocks of about ``block`` rows that are
-    compared block by block in different tasks, so that no task holds a whole hot bucket."""
+def _bucket_pairs(keyed: DataFrame, conf: NearDupConf) -> DataFrame:
+    """Pairs of different texts that share ``agree`` buckets. The rows of one bucket are gathered in blocks of about
+    ``block`` rows; blocks meet each other in different tasks, so that no task holds a whole hot bucket."""
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(size, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
-    left = rows.select("key", F.col("part").alias("x"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("y"), F.col("rep").alias("l"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("x"), F.col("part").alias("y"), F.col("rep").alias("r"))
-    met = left.join(right, ["key", "x", "y"]).where("l <> r and (x < y or l < r)")
-    return met.select(F.least("l", "r").alias("rep_a"), F.greatest("l", "r").alias("rep_b")).distinct()
+    parts = F.ceil(F.col("n") / conf.block).cast("int")
+    rows = keyed.join(size, "key").select("key", parts.alias("parts"), F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int").alias("part"), "rep")
+    blocks = rows.groupBy("key", "parts", "part").agg(F.collect_list("rep").alias("reps"))
+    inside = blocks.where("size(reps) > 1").select(F.explode("reps").alias("l"), "reps").select("l", F.explode("reps").alias("r")).where("l < r")
+    crowd = materialize(blocks.where("parts > 1"), "crowd")
+    left = crowd.where("part < parts - 1").select("key", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("y"), "part", F.col("reps").alias("ls"))
+    met = left.join(crowd.select("key", F.col("part").alias("y"), F.col("reps").alias("rs")), ["key", "y"])
+    across = met.select(F.explode("ls").alias("l"), "rs").select("l", F.explode("rs").alias("r")).select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"))
+    both = inside.unionByName(across).groupBy(F.col("l").alias("rep_a"), F.col("r").alias("rep_b")).agg(F.count("*").alias("agree"))
+    return both.where(F.col("agree") >= conf.agree).select("rep_a", "rep_b")
 
 
 def _verify(conf: NearDupConf):
@@ -100,12 +119,16 @@ def _verify(conf: NearDupConf):
         for pdf in batches:
             a, b = pdf["seq_a"].tolist(), pdf["seq_b"].tolist()
             jac, sim = np.zeros(len(pdf)), np.zeros(len(pdf))
-            for n in range(len(pdf)):
-                x, y = kmer_set(a[n], conf.k), kmer_set(b[n], conf.k)
+            sets: dict[str, np.ndarray] = {}
+            for n, pair in enumerate(zip(a, b)):
+                for s in pair:
+                    if s not in sets:
+                        sets[s] = kmer_set(s, conf.k)
+                x, y = sets[pair[0]], sets[pair[1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 jac[n] = both / max(1, len(x) + len(y) - both)
             near = np.flatnonzero(jac >= conf.jaccard)
-            sim[near] = block_similarities([a[n] for n in near], [b[n] for n in near])
+            sim[near] = block_similarities([a[n] for n in near], [b[n] for n in near], conf.similarity)
             keep = sim >= conf.similarity
             yield pd.DataFrame({"rep_a": pdf["rep_a"][keep], "rep_b": pdf["rep_b"][keep], "jaccard": jac[keep], "similarity": sim[keep]})
 
@@ -115,11 +138,11 @@ def _verify(conf: NearDupConf):
 def similar_texts(texts: DataFrame, conf: NearDupConf = NearDupConf()) -> DataFrame:
     """``rep_a, rep_b, jaccard, similarity`` of every pair of different ``texts (rep, seq)`` over the thresholds."""
     keyed = materialize(spread(texts, texts.count(), 500).mapInPandas(_band_keys(conf), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key")), "bands")
-    pairs = materialize(_bucket_pairs(keyed, conf.block), "candidates")
+    pairs = materialize(_bucket_pairs(keyed, conf), "candidates")
     a = texts.select(F.col("rep").alias("rep_a"), F.col("seq").alias("seq_a"))
     b = texts.select(F.col("rep").alias("rep_b"), F.col("seq").alias("seq_b"))
     both = pairs.join(a, "rep_a").join(b, "rep_b")
-    return spread(both, pairs.count(), 200).mapInPandas(_verify(conf), "rep_a long, rep_b long, jaccard double, similarity double")
+    return spread(both, pairs.count(), 2000).mapInPandas(_verify(conf), "rep_a long, rep_b long, jaccard double, similarity double")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", seq_col: str = "sequence", conf: NearDupConf = NearDupConf()) -> DataFrame:
@@ -130,7 +153,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", seq_col: str = "sequ
     shingle only match exact copies; an empty table gives an empty table; other columns are ignored.
     """
     members, texts = distinct_texts(df, id_col, seq_col)
-    members, texts = materialize(members, "members"), materialize(texts, "texts")
     near = materialize(similar_texts(texts, conf).select("rep_a", "rep_b"), "near")
     a, b = members.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), members.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
     far = near.join(a, "rep_a").join(b, "rep_b").select("x", "y")
@@ -142,7 +164,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", seq_col: str = "seq
     """One row per id and text: ``id, class_id`` (smallest id with the same text), ``group_id`` (smallest id linked to
     it directly or through others), ``n_links`` (other texts it is a near duplicate of). Copies are not paired."""
     members, texts = distinct_texts(df, id_col, seq_col)
-    members, texts = materialize(members, "members"), materialize(texts, "texts")
     named = materialize(members.groupBy("rep").agg(F.min("id").alias("class_id")), "classes")
     near = materialize(similar_texts(texts, conf), "near")
     a, b = named.select(F.col("rep").alias("rep_a"), F.col("class_id").alias("a")), named.select(F.col("rep").alias("rep_b"), F.col("class_id").alias("b"))

@@ -81,7 +81,28 @@ def test_long_texts_with_many_edits():
         b = mutate(rng, a, rate)
         plain = _dna.edit_distance(a, b)
         assert plain > 400
-        got = _dna.block_similarities([a, a[: n // 2], a], [b, b, a + dna(rng, 1200)])
+        got = _dna.block_similarities([a, a[: n // 2], a], [b, b, a + dna(rng, 1200)], at_least=0.6)
         assert abs(got[0] - (1 - plain / min(n, len(b)))) < 0.05
         assert 0 <= got[1] < got[0] and 0 <= got[2] < 1
     assert 0 < _dna._block_edits([dna(rng, 700)], [dna(rng, 3000)], 6)[0] <= 3700
+
+
+def test_short_moved_pieces():
+    rng = random.Random(12)
+    for n in (30, 50, 90, 110):
+        a, b = dna(rng, n), dna(rng, n)
+        assert _dna.block_similarity(a + b, b + a) == 1 and _dna.block_similarity(a + b, _dna.reverse_complement(b + a)) == 1
+
+
+def test_gate_lets_pairs_over_the_limit_pass():
+    rng = random.Random(13)
+    pairs = []
+    for _ in range(150):
+        a = dna(rng, rng.choice((500, 640)))
+        b = mutate(rng, a, 0.30)
+        cut = rng.randrange(100, len(b) - 100)
+        pairs.append((a, b[cut:] + b[:cut]))
+    near = _dna.block_similarities([p[0] for p in pairs], [p[1] for p in pairs], 0.62)
+    assert (near >= 0.62).mean() > 0.98
+    far = _dna.block_similarities([p[0] for p in pairs], [dna(rng, 600) for _ in pairs], 0.62)
+    assert (far < 0.5).all()
