@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,25 +19,39 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and all of Spark runs in this process (tests) a temporary folder is made and set;
+    on a cluster each executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-loomseq-")
-        spark.sparkContext.setCheckpointDir(f"file://{named}")
-        named = f"file://{named}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-loomseq-')}"
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage, keeps the result when an executor is lost, and makes ``count()`` a footer read.
+    This cuts the lineage, keeps the result when an executor is lost, and makes ``count()`` a footer read. Joins with it
+    sort and merge: its rows may take many times the room of the compressed files, by which a broadcast would be chosen.
+    The files go when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomseq/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomseq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not getattr(spark.sparkContext, "_loomseq_cleaned", False):
+        spark.sparkContext._loomseq_cleaned = True
+        _delete_at_exit(spark, path.rsplit("/", 1)[0])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Hadoop deletes the folder when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
 def spread(df: DataFrame, rows: int, per_task: int) -> DataFrame:
