@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 
 def apportion(sizes: np.ndarray, cap: int, weights: np.ndarray) -> np.ndarray:
-    """Slots of each stratum: shares of ``cap`` by ``weights``, the remainder to the largest fractions (then to the
-    first), never above ``sizes``; spare slots are shared out again among strata with room."""
+    """Slots of each stratum: shares of ``cap`` by whole-number ``weights``, the remainder to the largest fractions (then
+    to the first), never above ``sizes``; spare slots are shared out again among strata with room."""
     slots = np.zeros(len(sizes), np.int64)
     left = int(min(cap, sizes.sum()))
     while left > 0:
         room = sizes - slots
-        w = np.where(room > 0, np.maximum(weights, 1e-12), 0.0)
-        share = left * w / w.sum()
-        give = np.floor(share).astype(np.int64)
+        w = np.where(room > 0, np.maximum(weights, 1), 0).astype(np.int64)
+        give, fraction = np.divmod(left * w, int(w.sum()))
         rest = left - int(give.sum())
-        give[np.lexsort((np.arange(len(sizes)), -(share - give) * (w > 0)))[:rest]] += 1
+        give[np.lexsort((np.arange(len(sizes)), -fraction))[:rest]] += 1
         give = np.minimum(give, room)
         slots += give
         left -= int(give.sum())
@@ -51,7 +50,7 @@ def cap_contributors(df: DataFrame, contributor: Column, quality: Column, ties:
     def slots(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_s", na_position="first", kind="stable")
         n = pdf["_n"].to_numpy()
-        return pd.DataFrame({"_c": pdf["_c"], "_s": pdf["_s"], "_slots": apportion(n, cap, np.ones(len(n)) if even else n.astype(float))})
+        return pd.DataFrame({"_c": pdf["_c"], "_s": pdf["_s"], "_slots": apportion(n, cap, np.ones(len(n), np.int64) if even else n)})
 
     totals = sizes.groupBy(F.col("_c").alias("_pc")).agg(F.sum("_n").alias("contributor_rows"))
     # only contributors above the cap need their slots shared out

@@ -1,7 +1,7 @@
 """Problem 8: passages of test items inside training documents.
 
-Method: a hash set of the normalised n-grams (runs of ``n`` words) of all test items goes to every task; windows of
-document words are looked up in it, hits are verified word by word, and the spans they cover can be removed.
+Method: a hash set of the normalised n-grams (runs of ``n`` words) of all test items is broadcast; windows of document
+words are looked up in it, hits are verified word by word, and the spans they cover can be removed.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.session import materialize
+
 #: HTML tags and entities are skipped; a word is a run of letters and digits, carried on behind a hyphen at a line end
 #: over blanks and the quote or comment marks of the next line.
 _TOKEN = re.compile(r"<[A-Za-z/!][^<>]*>|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|([^\W_]+(?:(?<=[^\W\d_])-[ \t]*\r?\n(?:[ \t>#;%*]|//|--)*[^\W_]+)*)")
 _JOIN = re.compile(r"-[ \t]*\r?\n(?:[ \t>#;%*]|//|--)*")
-_GRAMS_IN_MEMORY = 2_000_000
+_GRAMS_IN_MEMORY = 8_000_000
 
 
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -33,54 +36,62 @@ def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return found, at
 
 
-def _gram(ws: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(ws).encode(), digest_size=16).digest()
+class WordHash:
+    """64-bit hashes of words and of windows of ``n`` words."""
+
+    def __init__(self, n: int):
+        self.n, self.known = n, {}
+        self.powers = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(n)], np.uint64)
+
+    def windows(self, ws: list[str]) -> np.ndarray:
+        """A hash for each window of ``ws``; of windows that differ two in 2 ** 64 share one."""
+        if len(ws) < self.n:
+            return np.empty(0, np.int64)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        codes = np.empty(len(ws), np.uint64)
+        for k, w in enumerate(ws):
+            code = self.known.get(w)
+            if code is None:
+                code = self.known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            codes[k] = code
+        out = np.zeros(len(ws) - self.n + 1, np.uint64)
+        for i, p in enumerate(self.powers):
+            out += codes[i : i + len(out)] * p
+        return (out ^ out >> np.uint64(31)).view(np.int64)
 
 
 def item_grams(items: DataFrame, n: int = 12) -> DataFrame:
     """``gram, item_id, words`` of every window of ``n`` words of every item; items with fewer words have none."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash(n)
         for pdf in batches:
             out = []
             for i, text in zip(pdf["item_id"], pdf["text"]):
                 ws, _ = words(text)
-                out += [(_gram(ws[k : k + n]), i, " ".join(ws[k : k + n])) for k in range(len(ws) - n + 1)]
+                out += [(g, i, " ".join(ws[k : k + n])) for k, g in enumerate(hashes.windows(ws))]
             yield pd.DataFrame(out, columns=["gram", "item_id", "words"])
 
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInPandas(grams, "gram binary, item_id long, words string").distinct()
+    return rows.mapInPandas(grams, "gram long, item_id long, words string").distinct()
+
 
+def _scan(held: Broadcast, n: int):
+    """The windows of documents whose hash is among the ``held`` sorted ones."""
 
-def _scan_held(held: pd.DataFrame, n: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams: dict[str, list[int]] = {}
-        for g, i in zip(held["words"], held["item_id"]):
-            grams.setdefault(g, []).append(int(i))
-        vocabulary = {w for g in grams for w in g.split(" ")}
+        hashes, grams = WordHash(n), held.value
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ws, at = words(text)
-                if len(ws) < n:
+                own = hashes.windows(ws)
+                if not len(own) or not len(grams):
                     continue
-                known = np.concatenate(([0], np.cumsum([w not in vocabulary for w in ws])))
-                for k in np.flatnonzero(known[n:] == known[:-n]):  # windows of known words only
-                    for item in grams.get(" ".join(ws[k : k + n]), ()):
-                        out.append((doc, item, int(k), at[k][0], at[k + n - 1][1]))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "word_no", "start", "stop"])
-
-    return scan
-
-
-def _doc_grams(n: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ws, at = words(text)
-                rows = [(doc, _gram(ws[k : k + n]), k, at[k][0], at[k + n - 1][1]) for k in range(len(ws) - n + 1)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "gram", "word_no", "start", "stop"])
+                hit = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                out += [(doc, int(own[k]), " ".join(ws[k : k + n]), int(k), at[k][0], at[k + n - 1][1]) for k in np.flatnonzero(grams[hit] == own)]
+            yield pd.DataFrame(out, columns=["doc_id", "gram", "words", "word_no", "start", "stop"])
 
     return scan
 
@@ -89,18 +100,26 @@ def leaked_windows(docs: DataFrame, items: DataFrame, n: int = 12, in_memory: in
     """``doc_id, item_id, word_no, start, stop`` of each window of a document that is a window of an item.
 
     Whole texts are scanned. Null ids and null texts leave on both sides, texts with fewer than ``n`` words hold
-    nothing, repeated rows repeat their windows, an empty table on either side gives an empty table. Up to ``in_memory``
-    n-grams the item side is held by every task and windows are compared word by word; beyond that both sides meet in a
-    join on a 128-bit hash of the window.
+    nothing, repeated rows repeat their windows, an empty table on either side gives an empty table.
+
+    Every task holds a sorted array of the items' 64-bit window hashes, 8 bytes each and ``in_memory`` of them at most
+    (64 MB); more are scanned for block by block, each block against all documents. Windows with a known hash are then
+    verified word by word against the items' windows. A window that very many documents share meets its items in 16
+    tasks.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = item_grams(items, n)
-    held = grams.select("words", "item_id").limit(in_memory + 1).toPandas()  # bounded by in_memory
-    schema = "doc_id long, item_id long, word_no int, start int, stop int"
-    if len(held) <= in_memory:
-        return rows.mapInPandas(_scan_held(held, n), schema)
-    windows = rows.mapInPandas(_doc_grams(n), "doc_id long, gram binary, word_no int, start int, stop int")
-    return windows.join(grams.select("gram", "item_id"), "gram").select("doc_id", "item_id", "word_no", "start", "stop")
+    grams = materialize(item_grams(items, n), "grams")
+    codes = grams.select("gram").distinct()
+    blocks = max(1, -(-codes.count() // max(1, in_memory)))
+    found: DataFrame | None = None
+    for b in range(blocks):
+        part = codes if blocks == 1 else codes.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(part.toPandas()["gram"].to_numpy(np.int64)))  # bounded by in_memory
+        hits = rows.mapInPandas(_scan(held, n), "doc_id long, gram long, words string, word_no int, start int, stop int")
+        found = hits if found is None else found.unionByName(hits)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
+    known = grams.select("gram", "words", "item_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    return found.withColumn("salt", salt).join(known, ["gram", "words", "salt"]).select("doc_id", "item_id", "word_no", "start", "stop")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, n: int = 12, in_memory: int = _GRAMS_IN_MEMORY) -> DataFrame:
@@ -115,20 +134,19 @@ def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 12, in_memory: int
     """
     found = leaked_windows(docs, items, n, in_memory).select("doc_id", "start", "stop").distinct()
     # windows of one document are merged into spans before they are gathered
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = opened.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-                merged: list[list[int]] = []
-                for s in found if found is not None else ():
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["stop"])
-                    else:
-                        merged.append([s["start"], s["stop"]])
                 kept, last = [], 0
+                merged = [(x["start"], x["stop"]) for x in found] if found is not None else []
                 for a, b in merged:
                     kept.append(text[last:a])
                     last = b

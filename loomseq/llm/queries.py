@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseq.functions.dna import IUPAC_BASES
 from loomseq.llm import capping, clusters, components, leakage, near_duplicates, packing, reading, splitting, topn
 from loomseq.session import table
 
@@ -27,12 +28,12 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_reads(table(spark, d, "ont_reads"), table(spark, d, "primers"))
-    first = pieces.where("piece_no = 0")
-    return first.select("id", F.explode(F.when(F.size("boundaries") > 0, F.col("boundaries")).otherwise(F.array(F.lit(-1)))).alias("cut_pos"))
+    none = (F.col("n_boundaries") == 0) & (F.col("piece_no") == 0)
+    return pieces.select("id", F.explode(F.when(none, F.array(F.lit(-1))).otherwise(F.col("boundaries"))).alias("cut_pos"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_reads(table(spark, d, "ont_reads"), table(spark, d, "primers")).drop("boundaries")
+    return splitting.split_reads(table(spark, d, "ont_reads"), table(spark, d, "primers")).drop("boundaries", "n_boundaries")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +49,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_capped_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Every database id keeps at most 40 hits, shared out over the days on which its hits were made."""
     kept = capping.cap_contributors(_hits(spark, d), F.col("database_id"), F.col("as_score"), [F.col("hit_id")], cap=40, stratum=F.col("created_on"))
-    return kept.select("hit_id", "database_id", "created_on", "stratum_rank", "contributor_rows")
+    return kept.select("hit_id", "database_id", F.col("created_on").cast("string").alias("created_on"), "stratum_rank", "contributor_rows")
+
+
+def p4_capped_evenly(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p4_capped_by_day`` with an equal share for every day, so days with few hits leave slots that go to the others."""
+    kept = capping.cap_contributors(_hits(spark, d), F.col("database_id"), F.col("as_score"), [F.col("hit_id")], cap=40, stratum=F.col("created_on"), even=True)
+    return kept.select("hit_id", "database_id", F.col("created_on").cast("string").alias("created_on"), "stratum_rank", "contributor_rows")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +93,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return boxes.groupBy((F.floor((2048 - F.col("used")) / 64) * 64).cast("int").alias("room_from")).agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("used").alias("n_tokens"))
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What packing has to keep: every document in the result, none split that fits, no container above its capacity."""
+    packed = packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    split = docs.agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= 2048)).alias("n_split"))
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > 2048).alias("n_overfull"))
+    return split.withColumn("k", F.lit(1)).join(full.withColumn("k", F.lit(1)), "k").select("n_documents", "n_split", "n_overfull")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -106,7 +122,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(_texts(spark, d), table(spark, d, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_near_duplicate_groups, p2_found, p2_group_sizes, p3_found, p3_pieces, p4_found, p4_capped_by_day, p5_found, p5_profile, p6_found, p6_ranked, p7_containers, p7_fill, p8_found, p8_cleaned, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_near_duplicate_groups, p2_found, p2_group_sizes, p3_found, p3_pieces, p4_found, p4_capped_by_day, p4_capped_evenly, p5_found, p5_profile, p6_found, p6_ranked, p7_containers, p7_fill, p7_whole, p8_found, p8_cleaned, p9_found, p9_levels)}
 
 _LINKS = """
 edges as (
@@ -128,7 +144,26 @@ tokens as (select kind, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as w f
 windows as (select kind, id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as gram from tokens where len(w) >= 12)
 """
 
+_LETTERS = " union all ".join(f"select '{k}' as l, '{b}' as b" for k, v in IUPAC_BASES.items() for b in v)
+_DAYS = """hits as (select hit_id, query_id, upper(trim(database_id)) as database_id, as_score, created_at::date as created_on from alignments where hit_id is not null
+  qualify row_number() over (partition by hit_id order by loaded_at desc nulls last) = 1),
+strata as (select database_id, created_on, count(*) as n, sum(count(*)) over (partition by database_id) as total from hits where database_id is not null group by 1, 2),
+slots as (select *, (40 * n // total + (row_number() over (partition by database_id order by (40 * n) % total desc, created_on nulls first) <= 40 - sum(40 * n // total) over (partition by database_id))::int)::bigint as slots from strata),
+ranked as (select h.*, s.total, s.slots, row_number() over (partition by h.database_id, h.created_on order by as_score desc nulls last, hit_id) as r
+  from hits h left join slots s on s.database_id = h.database_id and s.created_on is not distinct from h.created_on)"""
+
 SQL = {
+    "p3_found": f"""with recursive letters as ({_LETTERS}),
+sides as (select upper(replace(unnest([fwd_seq, rev_seq]), ' ', '')) as s from primers where fwd_id is not null and fwd_seq is not null and rev_id is not null and rev_seq is not null),
+grow as (select s, 1 as k, '' as done from sides union all select g.s, g.k + 1, g.done || coalesce(l.b, substr(g.s, g.k, 1)) from grow g left join letters l on l.l = substr(g.s, g.k, 1) where g.k <= length(g.s)),
+pats as (select distinct done as p from grow where k = length(s) + 1 and s <> ''),
+long as (select id, upper(sequence) as s from ont_reads where id is not null and length(sequence) > 4000 qualify row_number() over (partition by id order by loaded_at desc nulls last, sequence desc) = 1),
+places as (select id, s, unnest(range(1, length(s))) as k from long),
+found as (select distinct id, k from places, pats where case when k + length(p) <= length(s) then hamming(substr(s, k + 1, length(p)), p) <= 2 else false end)
+select l.id, coalesce(f.k, -1)::int as cut_pos from long l left join found f on f.id = l.id""",
+    "p4_capped_by_day": f"""with {_DAYS} select hit_id, database_id, created_on::varchar as created_on, case when database_id is not null then r end::int as stratum_rank, total::bigint as contributor_rows
+      from ranked where database_id is null or total <= 40 or r <= slots""",
+    "p7_whole": "select count(distinct doc_id) as n_documents, 0::bigint as n_split, 0::bigint as n_overfull from documents where doc_id is not null",
     "p2_found": f"with recursive {_LINKS} select record_id, group_id from found",
     "p2_group_sizes": f"with recursive {_LINKS} select group_id, count(*) as n_records from found group by group_id",
     "p4_found": f"""with {_HITS}, ranked as (

@@ -104,11 +104,12 @@ def copy_boundaries(reads: DataFrame, primers: DataFrame, mismatches: int = 2) -
 
 
 def split_reads(reads: DataFrame, primers: DataFrame, limit: int = 4_000, overlap: int = 100, mismatches: int = 2) -> DataFrame:
-    """``id, piece_no, start, stop, cut, piece, boundaries`` of every read longer than ``limit``.
+    """``id, piece_no, start, stop, cut, piece, boundaries, n_boundaries`` of every read longer than ``limit``.
 
     Pieces have at most ``limit`` bases and share ``overlap`` bases with the next one; ``cut`` tells how a piece ends:
-    at a boundary, hard, or with the read. A base is a token of size 1. Letter case is kept. Reads up to the limit are
-    not in the result; an empty table gives an empty table; other columns are ignored.
+    at a boundary, hard, or with the read. ``boundaries`` are those that lie in the piece but not in the one before, so
+    each is listed once and a read's output grows with its length; ``n_boundaries`` is their number in the read. A base is a token of size 1. Letter case is kept.
+    Reads up to the limit are not in the result; an empty table gives an empty table; other columns are ignored.
     """
     found = copy_boundaries(oversized_reads(reads, limit), primers, mismatches)
 
@@ -116,8 +117,11 @@ def split_reads(reads: DataFrame, primers: DataFrame, limit: int = 4_000, overla
         for pdf in batches:
             out = []
             for i, seq, at in zip(pdf["id"], pdf["sequence"], pdf["boundaries"]):
-                spans = split_spans(np.arange(1, len(seq) + 1), np.asarray(at, np.int64), limit, overlap)
-                out += [(i, n, a, b, how, seq[a:b], at) for n, (a, b, how) in enumerate(spans)]
-            yield pd.DataFrame(out, columns=["id", "piece_no", "start", "stop", "cut", "piece", "boundaries"])
-
-    return found.mapInPandas(cut, "id string, piece_no int, start int, stop int, cut string, piece string, boundaries array<int>")
+                at, seen = np.asarray(at, np.int64), 0
+                for n, (a, b, how) in enumerate(split_spans(np.arange(1, len(seq) + 1), at, limit, overlap)):
+                    upto = int(np.searchsorted(at, b, "left"))
+                    out.append((i, n, a, b, how, seq[a:b], at[seen:upto].astype(np.int32), len(at)))
+                    seen = upto
+            yield pd.DataFrame(out, columns=["id", "piece_no", "start", "stop", "cut", "piece", "boundaries", "n_boundaries"])
+
+    return found.mapInPandas(cut, "id string, piece_no int, start int, stop int, cut string, piece string, boundaries array<int>, n_boundaries int")

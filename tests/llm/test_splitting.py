@@ -77,7 +77,7 @@ def test_reads(spark):
     got = split_reads(df, pr).orderBy("id", "piece_no").collect()
     assert {r["id"] for r in got} == {"r1", "r2"}
     r1 = [r for r in got if r["id"] == "r1"]
-    assert r1[0]["boundaries"] == [717 * k for k in range(1, 8)]
+    assert [b for r in r1 for b in r["boundaries"]] == [717 * k for k in range(1, 8)] and r1[0]["n_boundaries"] == 7
     assert [(r["start"], r["stop"], r["cut"]) for r in r1] == [(0, 3585, "boundary"), (3485, len(long), "end")]
     assert r1[0]["piece"] + r1[1]["piece"][100:] == long
     r2 = [r for r in got if r["id"] == "r2"]

@@ -141,6 +141,10 @@ def test_packing_nulls_and_empty(spark):
 def test_token_sizes(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_sizes(docs(spark, [(1, "hello world"), (2, None), (3, ""), (4, "a" * 120_000)])).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1000
+    encode = packing._encoder(None, None).encode_ordinary
+    rng = random.Random(8)
+    for text in ("".join(rng.choice("0123456789") for _ in range(60_000)), " ".join(rng.choice(("ab", "c1", "  ", "\n", "it's")) for _ in range(5000)), " " * 3000 + "x"):
+        assert packing._count(text, encode, 1000) == len(encode(text))
 
 
 def test_nnls_reaches_an_exact_histogram():
