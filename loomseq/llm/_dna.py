@@ -159,11 +159,11 @@ def _block_edits(a: list[str], b: list[str], jump: int) -> np.ndarray:
     return _uncovered(final, final_at, came, at, la, bits, jump)
 
 
-#: Letters of the k-mers that place one text on another, the width of a band of diagonals, and the share of the shorter
-#: text's letters that the k-mers beyond the second of each band have to reach before edits are counted. Of pairs in two
-#: moved pieces (500 to 640 letters, edits spread evenly) 92 in 100 pass at a similarity of 0.62, 97 at 0.64, 998 in 1000 at
-#: 0.67; of pseudo references from different families 5 in 10 000.
-GATE_K, BAND, GATE = 8, 24, 0.013
+#: Letters of the k-mers that place one text on another (every second one of a record, all of a pivot), the width of a band
+#: of diagonals, and the share of the shorter text's letters that the k-mers beyond the second of each band have to reach
+#: before edits are counted. Of pairs in two moved pieces (500 to 640 letters, edits spread evenly) 94 in 100 pass at a
+#: similarity of 0.62, 98 at 0.64, more than 997 in 1000 at 0.67; of pseudo references from different families 3 in 10 000.
+GATE_K, STEP, BAND, GATE = 7, 2, 24, 0.0095
 #: Texts under so many letters hold too few k-mers for bands.
 SHORT = 200
 
@@ -173,9 +173,12 @@ def band_excess(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - 2, 0).sum(axis=-1)
 
 
-def strand_kmers(seq: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Codes and places of the gate's k-mers of ``seq`` and of its reverse complement."""
+def strand_kmers(seq: str, step: int = STEP) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes and places of every ``step``-th of the gate's k-mers of ``seq`` and of its reverse complement."""
     fwd, rev, at = placed_kmers(seq, GATE_K)
+    if step > 1:
+        keep = at % step == 0
+        fwd, rev, at = fwd[keep], rev[keep], at[keep]
     return [(fwd, at), (rev, len(seq) - GATE_K - at)]
 
 
@@ -263,7 +266,7 @@ def block_similarities(a: list[str], b: list[str], at_least: float = 1.0, least:
             out[n] = max(0.0, 1 - min(edit_distance(x, y), edit_distance(back, y)) / len(x))
             ready += [(n, x, y), (n, back, y)]
             continue
-        codes, at = strand_kmers(y)[0]
+        codes, at = strand_kmers(y, 1)[0]
         place[codes] = at + 1
         fits = [int(band_excess(_pair_bands(c, p, place, len(x)))) for c, p in strand_kmers(x)]
         place[codes] = 0

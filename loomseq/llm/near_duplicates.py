@@ -30,7 +30,9 @@ class NearDupConf:
     letters), 0.9985 (500) and 0.993 (300), at 0.92 with 0.9995 or more from 300 letters on. Edits in clusters leave more
     shingles whole. One long shingle a band keeps the bands few and chance meetings rare; that several of them agree
     takes the place of rows. test_pairs_at_the_limit has the sum.
-    jaccard: least similarity of the shingle sets, before the edits are counted. similarity: least 1 - edits / letters.
+    jaccard: least similarity of the sets of ``jaccard_k`` letters, compared exactly before the edits are counted. With
+    edits spread evenly at random a pair at 0.90 of 500 letters reaches it with probability 0.9995, hardly any at 0.80 does.
+    similarity: least 1 - edits / letters.
     block: rows of one bucket that a task compares with as many others.
     """
 
@@ -38,7 +40,8 @@ class NearDupConf:
     bands: int = 176
     rows: int = 1
     agree: int = 3
-    jaccard: float = 0.025
+    jaccard_k: int = 8
+    jaccard: float = 0.20
     similarity: float = 0.90
     block: int = 256
     seed: int = 7
@@ -116,6 +119,7 @@ def _bucket_pairs(keyed: DataFrame, conf: NearDupConf) -> DataFrame:
 
 def _verify(conf: NearDupConf):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(4**conf.jaccard_k, bool)
         for pdf in batches:
             a, b = pdf["seq_a"].tolist(), pdf["seq_b"].tolist()
             jac, sim = np.zeros(len(pdf)), np.zeros(len(pdf))
@@ -123,9 +127,11 @@ def _verify(conf: NearDupConf):
             for n, pair in enumerate(zip(a, b)):
                 for s in pair:
                     if s not in sets:
-                        sets[s] = kmer_set(s, conf.k)
+                        sets[s] = kmer_set(s, conf.jaccard_k)
                 x, y = sets[pair[0]], sets[pair[1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                held[x] = True
+                both = int(held[y].sum())
+                held[x] = False
                 jac[n] = both / max(1, len(x) + len(y) - both)
             near = np.flatnonzero(jac >= conf.jaccard)
             sim[near] = block_similarities([a[n] for n in near], [b[n] for n in near], conf.similarity)

@@ -158,8 +158,8 @@ sides as (select upper(replace(unnest([fwd_seq, rev_seq]), ' ', '')) as s from p
 grow as (select s, 1 as k, '' as done from sides union all select g.s, g.k + 1, g.done || coalesce(l.b, substr(g.s, g.k, 1)) from grow g left join letters l on l.l = substr(g.s, g.k, 1) where g.k <= length(g.s)),
 pats as (select distinct done as p from grow where k = length(s) + 1 and s <> ''),
 long as (select id, upper(sequence) as s from ont_reads where id is not null and length(sequence) > 4000 qualify row_number() over (partition by id order by loaded_at desc nulls last, sequence desc) = 1),
-places as (select id, s, unnest(range(1, length(s))) as k from long),
-found as (select distinct id, k from places, pats where case when k + length(p) <= length(s) then hamming(substr(s, k + 1, length(p)), p) <= 2 else false end)
+windows as materialized (select id, k, n, substr(s, k + 1, n) as w from (select id, s, unnest(range(1, length(s))) as k from long), (select distinct length(p) as n from pats) where k + n <= length(s)),
+found as (select distinct id, k from windows, pats where case when n = length(p) then hamming(w, p) <= 2 else false end)
 select l.id, coalesce(f.k, -1)::int as cut_pos from long l left join found f on f.id = l.id""",
     "p4_capped_by_day": f"""with {_DAYS} select hit_id, database_id, created_on::varchar as created_on, case when database_id is not null then r end::int as stratum_rank, total::bigint as contributor_rows
       from ranked where database_id is null or total <= 40 or r <= slots""",
