@@ -115,7 +115,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.demanding(reading.reading_levels(_texts(spark, d), table(spark, d, "doc_labels"))).select("doc_id")
+    return reading.demanding_documents(_texts(spark, d), table(spark, d, "doc_labels")).select("doc_id")
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:

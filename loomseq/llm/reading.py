@@ -1,8 +1,9 @@
 """Problem 9: the reading level of each document's prose.
 
 Method: interpolated n-gram models of the letters in words are trained on the prose of all documents; every word has a
-surprisal under them, every document a distribution of surprisals over its whole text. The bits that a sentence takes on
-average are mapped to school years by isotonic regression on the marks of human raters.
+surprisal under them, every document a distribution of surprisals over its whole text. The bits of a sentence and the mean
+and quantiles of the bits of a word are mapped to school years by isotonic regression on the marks of human raters, one
+rising curve for each, fitted in turns to what the others leave.
 """
 
 from __future__ import annotations
@@ -23,15 +24,13 @@ from loomseq.session import materialize
 
 @dataclass(frozen=True)
 class ReadingConf:
-    """order: letters of the longest n-gram. alphabet: a to z, any other letter, word start and end, so a model has at
-    most 29 ** order counts, however large the corpus. step: width of the score bins that raters' marks are gathered in.
-    bits_per_letter: fewest bits that a letter of demanding prose takes on average; together with the limits of sentence
-    and word length it gives the least score, and by the fitted curve the least level, of a candidate for a demanding
-    document, whose limits are then checked exactly."""
+    """order: letters of the longest n-gram. alphabet: a to z, any other letter, word start and end, so a model is a table of
+    29 ** order numbers, however large the corpus. marks: rated documents that the curves are fitted to, drawn by hash
+    where there are more. turns: how often each curve is fitted. The limits are those of demanding prose."""
 
     order: int = 4
-    step: float = 0.02
-    bits_per_letter: float = 0.75
+    marks: int = 20_000
+    turns: int = 8
     least_words: int = 40
     words_per_sentence: float = 16.0
     letters_per_word: float = 5.7
@@ -105,6 +104,7 @@ def prose_table(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(prose, "doc_id long, prose string")
 
 
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz~^$")}
 _KNOWN = re.compile("[^a-z]")
 
 
@@ -112,11 +112,12 @@ def _padded(word: str, order: int) -> str:
     return "^" * (order - 1) + _KNOWN.sub("~", word.lower()) + "$"
 
 
-def train_models(prose: DataFrame, conf: ReadingConf = ReadingConf()) -> dict[str, int]:
-    """Counts of all letter n-grams of orders 1 to ``order`` over the words of all documents.
+def train_models(prose: DataFrame, conf: ReadingConf = ReadingConf()) -> np.ndarray:
+    """Bits of each letter behind each ``order - 1`` letters, from the n-grams of all documents' words.
 
     Words are counted in every task before the shuffle, n-grams are made of different words only. What comes to the
-    driver is a table of fixed size.
+    driver is a table of fixed size. Each order is mixed with the next lower one by the share of different letters seen
+    after its context (Witten and Bell).
     """
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,53 +131,54 @@ def train_models(prose: DataFrame, conf: ReadingConf = ReadingConf()) -> dict[st
             for w, k in zip(pdf["word"], pdf["n"]):
                 t = _padded(w, conf.order)
                 for i in range(conf.order - 1, len(t)):
-                    for o in range(1, conf.order + 1):
-                        n[t[i - o + 1 : i + 1]] += int(k)
+                    n[t[i - conf.order + 1 : i + 1]] += int(k)
             yield pd.DataFrame({"gram": list(n.keys()), "n": list(n.values())})
 
     words = prose.mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     grams = words.mapInPandas(count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in grams.collect()}
+    counts = np.zeros((len(_LETTERS),) * conf.order)
+    for r in grams.collect():  # at most 29 ** order rows
+        counts[tuple(_LETTERS[c] for c in r["gram"])] = r["n"]
+    p: np.ndarray | float = 1 / (len(_LETTERS) - 1)  # no letter is a word start
+    for o in range(1, conf.order + 1):
+        seen = counts.sum(axis=tuple(range(conf.order - o)))
+        total, kinds = seen.sum(axis=-1, keepdims=True), (seen > 0).sum(axis=-1, keepdims=True)
+        p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
+    return -np.log2(p)
 
 
 class Surprisal:
-    """Bits of a word under interpolated letter models: each order is mixed with the next lower one by the share of
-    different letters seen after its context (Witten and Bell)."""
-
-    def __init__(self, counts: dict[str, int], order: int):
-        self.counts, self.order = counts, order
-        self.total: Counter[str] = Counter()
-        self.kinds: Counter[str] = Counter()
-        for g, n in counts.items():
-            self.total[g[:-1]] += n
-            self.kinds[g[:-1]] += 1
-        self.cache: dict[str, float] = {}
+    """Bits of words under a table of ``train_models``."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.order = table.reshape(-1), table.ndim
+        self.known: dict[str, float] = {}
 
     def bits(self, word: str) -> float:
-        known = self.cache.get(word)
-        if known is None:
-            t, known = _padded(word, self.order), 0.0
-            for i in range(self.order - 1, len(t)):
-                p = 1 / 28
-                for o in range(1, self.order + 1):
-                    c = t[i - o + 1 : i]
-                    if self.total[c]:
-                        p = (self.counts.get(c + t[i], 0) + self.kinds[c] * p) / (self.total[c] + self.kinds[c])
-                known -= np.log2(p)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = known
-        return known
+        found = self.known.get(word)
+        if found is None:
+            at, found, top = 0, 0.0, len(self.table)
+            for n, c in enumerate(_padded(word, self.order)):
+                at = (at * len(_LETTERS) + _LETTERS[c]) % top
+                if n >= self.order - 1:
+                    found += float(self.table[at])
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
 
 _SCORED = "doc_id long, n_words int, n_sentences int, words_per_sentence double, letters_per_word double, bits_per_word double, bits_p10 double, bits_p50 double, bits_p90 double, score double"
+#: What a level is fitted to: log2 of the bits of a sentence, and the distribution of the bits of a word.
+FEATURES = ("score", "bits_per_word", "bits_p10", "bits_p50", "bits_p90")
 
 
-def surprisal_table(prose: DataFrame, counts: dict[str, int], conf: ReadingConf = ReadingConf()) -> DataFrame:
+def surprisal_table(prose: DataFrame, table: np.ndarray) -> DataFrame:
     """Size and surprisal distribution of each document's prose; ``score`` is log2 of the bits of a sentence."""
+    held = prose.sparkSession.sparkContext.broadcast(table.astype(np.float32))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Surprisal(counts, conf.order)
+        model = Surprisal(held.value)
         for pdf in batches:
             out = []
             for doc, p in zip(pdf["doc_id"], pdf["prose"]):
@@ -207,14 +209,36 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array(xs), np.array(ys)
 
 
-def grade_curve(scored: DataFrame, labels: DataFrame, conf: ReadingConf = ReadingConf()) -> tuple[np.ndarray, np.ndarray] | None:
-    """Level as a function of the score, from all marks: a document counts with its median mark, marks outside 1 to 18
-    and documents without prose are left out. Marks are gathered in score bins, so the driver gets a bounded table."""
-    marks = labels.where("doc_id is not null and grade between 1 and 18").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile("grade", F.lit(0.5)).alias("grade"), F.count("*").alias("n"))
-    bins = marks.join(scored.where("score is not null"), "doc_id").groupBy(F.round(F.col("score") / conf.step).alias("bin")).agg(F.avg("score").alias("x"), F.avg("grade").alias("y"), F.count("*").alias("w")).orderBy("bin").collect()
-    if not bins:
-        return None
-    return isotonic(*(np.array([r[c] for r in bins], float) for c in ("x", "y", "w")))
+@dataclass(frozen=True)
+class GradeCurves:
+    """A mean level and a rising curve (points x, y) for each feature; the level is their sum."""
+
+    mean: float
+    curves: tuple[tuple[np.ndarray, np.ndarray], ...]
+
+    def level(self, x: np.ndarray) -> np.ndarray:
+        return self.mean + sum(np.interp(x[:, k], *c) for k, c in enumerate(self.curves))
+
+
+def fit_curves(x: np.ndarray, y: np.ndarray, turns: int) -> GradeCurves:
+    """Isotonic curves fitted in turns, each to what the others leave of the marks ``y``."""
+    part, mean = np.zeros_like(x), float(y.mean())
+    curves = [(np.zeros(1), np.zeros(1))] * x.shape[1]
+    for _ in range(turns):
+        for k in range(x.shape[1]):
+            xs, ys = isotonic(x[:, k], y - mean - part.sum(axis=1) + part[:, k], np.ones(len(y)))
+            ys = ys - np.interp(x[:, k], xs, ys).mean()
+            curves[k], part[:, k] = (xs, ys), np.interp(x[:, k], xs, ys)
+    return GradeCurves(mean, tuple(curves))
+
+
+def grade_curves(scored: DataFrame, labels: DataFrame, conf: ReadingConf = ReadingConf()) -> GradeCurves | None:
+    """Level as a function of the features, from the marks: a document counts with its median mark, marks outside 1 to 18
+    and documents without prose are left out. The driver gets ``marks`` rated documents at most."""
+    marks = labels.where("doc_id is not null and grade between 1 and 18").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile("grade", F.lit(0.5)).alias("grade"))
+    rated = marks.join(scored.where("score is not null"), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(conf.marks)
+    rows = rated.select(*FEATURES, "grade").toPandas().to_numpy(float)  # bounded by marks
+    return fit_curves(rows[:, :-1], rows[:, -1], conf.turns) if len(rows) else None
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, conf: ReadingConf = ReadingConf()) -> DataFrame:
@@ -223,26 +247,41 @@ def reading_levels(docs: DataFrame, labels: DataFrame, conf: ReadingConf = Readi
     Null, blank and pure code texts have no words and a null level; without any usable mark all levels are null;
     repeated rows repeat; an empty table gives an empty table; other columns are ignored.
     """
+    return _levels(docs, labels, conf)[0]
+
+
+def _levels(docs: DataFrame, labels: DataFrame, conf: ReadingConf) -> tuple[DataFrame, GradeCurves | None]:
     prose = materialize(prose_table(docs), "prose")
-    scored = materialize(surprisal_table(prose, train_models(prose, conf), conf), "scored")
-    curve = grade_curve(scored, labels, conf)
-    if curve is None:
-        return scored.withColumn("level", F.lit(None).cast("double"))
-    xs, ys = curve
+    scored = materialize(surprisal_table(prose, train_models(prose, conf)), "scored")
+    curves = grade_curves(scored, labels, conf)
+    if curves is None:
+        return scored.withColumn("level", F.lit(None).cast("double")), None
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf["score"].to_numpy(float)
-            yield pdf.assign(level=np.where(np.isnan(x), np.nan, np.interp(x, xs, ys)))
+            yield pdf.assign(level=curves.level(pdf[list(FEATURES)].to_numpy(float)))
+
+    return scored.mapInPandas(level, _SCORED + ", level double").withColumn("level", F.nanvl("level", F.lit(None).cast("double"))), curves
 
-    return materialize(scored.mapInPandas(level, _SCORED + ", level double").withColumn("level", F.nanvl("level", F.lit(None).cast("double"))), "levels")
 
+def demanding_documents(docs: DataFrame, labels: DataFrame, conf: ReadingConf = ReadingConf()) -> DataFrame:
+    """The rows of ``reading_levels`` of demanding documents.
 
-def demanding(levels: DataFrame, conf: ReadingConf = ReadingConf()) -> DataFrame:
-    """Documents whose level reaches that of the least demanding prose (any level where none could be fitted), and whose
-    prose keeps the exact limits of words, words per sentence and letters per word."""
-    least = float(np.log2(conf.words_per_sentence * conf.letters_per_word * conf.bits_per_letter))
-    # the curve is monotone: the lowest level from that score on is the level of the score
-    floor = levels.where(F.col("score") >= least).agg(F.min("level")).first()[0]
-    candidates = levels if floor is None else levels.where(F.col("level").isNull() | (F.col("level") >= floor))
+    Surprisal and level choose the candidates: of all documents with ``least_words`` words the least bits of a letter, and
+    the least of each other feature, are measured. A demanding document has sentences of at least ``words_per_sentence``
+    words of ``letters_per_word`` letters, so its sentences take no fewer bits than that many letters of the least
+    surprising prose, and its level, which rises with every feature, is no lower than the curves give for these least
+    values. So no demanding document is lost; the limits are then checked exactly on the candidates. Without any mark
+    the bits alone choose them. Null and empty texts are not demanding.
+    """
+    levels, curves = _levels(docs, labels, conf)
+    letter_bits = F.pow(F.lit(2.0), "score") / (F.col("words_per_sentence") * F.col("letters_per_word"))
+    least = levels.where(F.col("n_words") >= conf.least_words).agg(F.min(letter_bits).alias("letter"), *[F.min(c).alias(c) for c in FEATURES[1:]]).first()
+    if least["letter"] is None:
+        return levels.limit(0)
+    score = float(np.log2(conf.words_per_sentence * conf.letters_per_word * least["letter"])) - 1e-9
+    candidates = levels.where(F.col("score") >= score)
+    if curves is not None:
+        floor = float(curves.level(np.array([[score, *(least[c] for c in FEATURES[1:])]]))[0]) - 1e-9
+        candidates = candidates.where(F.col("level") >= floor)
     return candidates.where((F.col("n_words") >= conf.least_words) & (F.col("words_per_sentence") >= conf.words_per_sentence) & (F.col("letters_per_word") >= conf.letters_per_word))

@@ -101,12 +101,13 @@ def test_levels_follow_held_out_marks(spark):
     assert np.corrcoef(rank(level), rank(true))[0, 1] > 0.9
     assert np.mean(np.abs(level - (2 + 14 * true))) < 1.5
     assert got[900]["level"] is None and got[902]["n_words"] == 0
-    hard = {r["doc_id"] for r in reading.demanding(reading.reading_levels(docs(spark, rows), lab), reading.ReadingConf(bits_per_letter=0.1)).collect()}
+    hard = {r["doc_id"] for r in reading.demanding_documents(docs(spark, rows + extra), lab).collect()}
     want = {i for i in range(160) if got[i]["n_words"] >= 40 and got[i]["words_per_sentence"] >= 16 and got[i]["letters_per_word"] >= 5.7}
     assert hard == want and want
     unmarked = reading.reading_levels(docs(spark, rows), lab.limit(0))
     assert unmarked.where("level is not null").count() == 0
-    assert {r["doc_id"] for r in reading.demanding(unmarked).collect()} == want
+    assert {r["doc_id"] for r in reading.demanding_documents(docs(spark, rows), lab.limit(0)).collect()} == want
+    assert reading.demanding_documents(docs(spark, []), lab).count() == 0
     assert reading.reading_levels(docs(spark, []), lab).count() == 0
 
 
@@ -157,3 +158,15 @@ def test_nnls_reaches_an_exact_histogram():
     for c, k, w in zip(cls, n, x):
         np.add.at(made, c, k * w)
     assert (x >= 0).all() and np.abs(made - hist).max() < 0.5
+
+
+def test_curves_rise_with_every_feature():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = x[:, 0] + 0.5 * x[:, 1] ** 3 + rng.normal(0, 0.3, 300)
+    curves = reading.fit_curves(x, y, 8)
+    for k in range(3):
+        grid = np.zeros((50, 3))
+        grid[:, k] = np.linspace(-3, 3, 50)
+        assert (np.diff(curves.level(grid)) >= -1e-12).all()
+    assert np.corrcoef(curves.level(x), y)[0, 1] > 0.95
