@@ -158,10 +158,8 @@ def pairwise_distance(seqs: DataFrame, group: str, conf: ClusterConf) -> DataFra
     """``<group>, row_id, col_id, value``: distances of the sequences inside each group, by alignment of ids ``group/id``
     so that one seed join serves all groups; only seeds of one group meet."""
     named = seqs.select(F.concat_ws("\x1f", F.col(group).cast("string"), "id").alias("id"), "sequence")
-    found = align(named, named, conf.align)
     part = lambda c, i: F.split(c, "\x1f")[i]
-    inner = found.where(part("query_id", 0) == part("database_id", 0))
-    best = H.best_hits(inner, ["query_id", "database_id"])
+    best = H.best_hits(align(named, named, conf.align, within=lambda c: part(c, 0)), ["query_id", "database_id"])
     long = matrix.to_distance(matrix.symmetric(matrix.feature_long(best, "similarity")))
     return long.select(part("row_id", 0).alias(group), part("row_id", 1).alias("row_id"), part("col_id", 1).alias("col_id"), "value")
 

@@ -161,7 +161,7 @@ def test_align_finds_noisy_copies_on_both_strands(spark):
         reads.append((f"q{i}", dna(rng, 50) + (back(part) if i % 2 else part) + dna(rng, 50)))
     reads += [("none", dna(rng, 300)), ("empty", ""), ("null", None)]
     q, t = spark.createDataFrame(reads, "id string, sequence string"), spark.createDataFrame(refs, "id string, sequence string")
-    conf = AlignConf(k=11, window=1, min_seeds=3)
+    conf = AlignConf(k=11, min_seeds=3)
     got = hits.best_hits(align(q, t, conf), ["query_id"]).collect()
     assert {r["query_id"]: (r["database_id"], r["orientation"]) for r in got} == truth
     for r in got:
@@ -195,6 +195,24 @@ def test_consensus_groups(spark):
     assert [tuple(r) for r in consensus_per_group(df).collect()] == [("a", 3, "ACGTACGT")]
 
 
+def test_consensus_of_two_copies_takes_the_surer_letter():
+    assert vote(["ACGTACGT", "ACGAACGT"], ["IIIIIIII", "III!IIII"]) == "ACGTACGT"
+    assert vote(["ACGTACGT", "ACGAACGT"], ["III!IIII", "IIIIIIII"]) == "ACGAACGT"
+
+
+def test_consensus_of_a_group_larger_than_a_task(spark):
+    rng = random.Random(17)
+    h = {g: dna(rng, 150) for g in "abc"}
+    rows = [(g, mutate(rng, h[g], 0.12), None) for g, n in (("a", 90), ("b", 9), ("c", 31)) for _ in range(n)] + [("a", h["a"][:50], "!!")]
+    df = spark.createDataFrame(rows, "id string, sequence string, quality string")
+    from loomseq.operators._dp import align_pairs
+
+    got = {r["id"]: r for r in consensus_per_group(df, most=20).collect()}
+    assert {g: r["n_frags"] for g, r in got.items()} == {"a": 91, "b": 9, "c": 31}
+    for g, r in got.items():
+        assert align_pairs([r["sequence"]], [h[g]], "global")[0][6] <= (1 if g != "b" else 6)
+
+
 def test_pipeline_on_synthetic_concatemers(spark):
     rng = random.Random(11)
     fwd, rev = "ACGGTTACCAGTACGGATCA", "TTGGCCAATCGCATTACGGT"
