@@ -114,19 +114,23 @@ def density_labels(d: np.ndarray, min_samples: int | None = None, max_eps: float
 def density_order(long: DataFrame, group: str, min_samples: int | None = None, max_eps: float | None = None, most: int = 2000) -> DataFrame:
     """``<group>, id, cluster_id, ordering, reachability``: the density ordering inside each group of a pair table.
 
-    A group is a sample of at most ``most`` ids (the sampling operators make them; the first by id otherwise), since the
-    ordering needs its whole matrix; ``graph.density_clusters`` is the clustering without that limit. Pairs that are not
-    listed are at distance 1.
+    The ordering needs its whole matrix, so of a group of more than ``most`` ids that many are drawn by hash and ordered;
+    every other id gets the cluster of the drawn id it is closest to (the smallest on ties; noise where it has none), its
+    distance to it as reachability, and no place in the ordering. ``graph.density_clusters`` is the clustering of whole
+    groups. Pairs that are not listed are at distance 1.
     """
+    long = materialize(long.select(group, "row_id", "col_id", F.col("value").cast("double").alias("value")), "pairs")
     ids = long.select(group, F.explode(F.array("row_id", "col_id")).alias("id")).distinct()
-    few = ids.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("id"))).where(F.col("_k") <= most)
+    ranked = materialize(ids.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("id"), "id"))), "ranked")
+    few = ranked.where(F.col("_k") <= most)
     a = few.select(group, F.col("id").alias("row_id"), (F.col("_k") - 1).alias("_i"))
     b = few.select(group, F.col("id").alias("col_id"), (F.col("_k") - 1).alias("_j"))
-    cells = long.join(a, [group, "row_id"]).join(b, [group, "col_id"]).select(group, "row_id", "col_id", "_i", "_j", F.col("value").cast("double").alias("value"))
+    cells = long.join(a, [group, "row_id"]).join(b, [group, "col_id"]).select(group, "row_id", "col_id", "_i", "_j", "value")
     kind = dict(long.dtypes)[group]
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         names = pd.concat([pdf[["_i", "row_id"]].set_axis(["k", "id"], axis=1), pdf[["_j", "col_id"]].set_axis(["k", "id"], axis=1)]).drop_duplicates("k").sort_values("k")
+        names = names.sort_values("id")
         at = {k: n for n, k in enumerate(names["k"])}
         d = np.ones((len(names), len(names)))
         i, j = pdf["_i"].map(at).to_numpy(), pdf["_j"].map(at).to_numpy()
@@ -136,18 +140,27 @@ def density_order(long: DataFrame, group: str, min_samples: int | None = None, m
         labels, place, reach = density_labels(d, min_samples, max_eps)
         return pd.DataFrame({group: pdf[group].iloc[0], "id": names["id"].to_numpy(), "cluster_id": labels, "ordering": place, "reachability": reach})
 
-    return cells.groupBy(group).applyInPandas(order, f"{group} {kind}, id string, cluster_id int, ordering int, reachability double")
+    done = cells.groupBy(group).applyInPandas(order, f"{group} {kind}, id string, cluster_id int, ordering int, reachability double")
+    if not ranked.where(F.col("_k") > most).take(1):
+        return done
+    done = materialize(done, "ordered")
+    # drawn ids without a drawn neighbour are not in the matrix; they stay noise like the rest that has none
+    rest = ranked.select(group, "id").join(done.select(group, "id"), [group, "id"], "left_anti")
+    ways = long.unionByName(long.select(group, F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "value"))
+    near = ways.join(done.select(group, F.col("id").alias("col_id"), "cluster_id"), [group, "col_id"]).groupBy(group, F.col("row_id").alias("id")).agg(F.min(F.struct("value", "col_id", "cluster_id")).alias("m"))
+    rest = rest.join(near, [group, "id"], "left").select(group, "id", F.coalesce("m.cluster_id", F.lit(-1)).alias("cluster_id"), F.lit(None).cast("int").alias("ordering"), F.coalesce("m.value", F.lit(1.0)).alias("reachability"))
+    return done.unionByName(rest)
 
 
 @dataclass(frozen=True)
 class ClusterConf:
     """csize: members of a cluster that make its centre. sample: uncovered sequences that a sweep clusters, and the
-    most members of a centre that a split looks at. th_s: bins of relative scores, of which the lowest is uncovered.
+    most members of a centre that a split looks at. seeds: start centres. th_s: bins of relative scores, of which the lowest is uncovered.
     th_m: cosine distance below which centres are merged."""
 
     csize: int = 20
     sample: int = 2000
-    seeds: int = 200
+    seeds: int = 5
     th_s: int = 2
     th_m: float = 0.9
     max_iter: int = 1
@@ -177,34 +190,62 @@ def cluster_groups(seqs: DataFrame, group: str, conf: ClusterConf, min_samples:
     return made.select(F.split("_c", "\x1f")[0].alias(group), F.split("_c", "\x1f")[1].cast("int").alias("cluster_id"), "sequence", "n_frags")
 
 
-def cover_sample(seqs: DataFrame, n: int, conf: ClusterConf, th: float = 0.9, seed: int = 0) -> DataFrame:
-    """Start centres ``id, sequence``: of ``n`` sequences drawn by hash, those without a hit of match score over ``th`` on
-    one drawn before."""
-    drawn = materialize(seqs.withColumn("_r", F.xxhash64("id", F.lit(seed))).orderBy("_r", "id").limit(n), "drawn")
-    found = align(drawn.select("id", "sequence"), drawn.select("id", "sequence"), conf.align).where(F.col("match_score") > th)
-    rank = drawn.select("id", "_r")
-    later = found.join(rank.select(F.col("id").alias("query_id"), F.col("_r").alias("_q")), "query_id").join(rank.select(F.col("id").alias("database_id"), F.col("_r").alias("_d")), "database_id").where("_d < _q")
-    return drawn.join(later.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti").select("id", "sequence")
+def cover_sample(seqs: DataFrame, n: int, conf: ClusterConf, th: float = 0.9, seed: int = 0, rounds: int = 20) -> DataFrame:
+    """Start centres ``id, sequence``: drawn by hash from what no centre covers yet (no hit of match score over ``th``),
+    until there are ``n`` or nothing is left.
+
+    A round draws twice as many as the one before; of those drawn that cover each other the first stays. So the rare
+    sequences that the first draws miss are drawn later, in a few rounds of joins.
+    """
+    free = materialize(seqs.select("id", "sequence", F.xxhash64("id", F.lit(seed)).alias("_r")), "free")
+    made: list[DataFrame] = []
+    have, draw = 0, max(1, n // 8)
+    for _ in range(rounds):
+        drawn = materialize(free.orderBy("_r", "id").limit(min(draw, n - have)), "drawn")
+        if not drawn.take(1):
+            break
+        found = align(drawn.select("id", "sequence"), drawn.select("id", "sequence"), conf.align).where(F.col("match_score") > th)
+        rank = drawn.select("id", "_r")
+        later = found.join(rank.select(F.col("id").alias("query_id"), F.col("_r").alias("_q")), "query_id").join(rank.select(F.col("id").alias("database_id"), F.col("_r").alias("_d")), "database_id").where("_d < _q")
+        new = materialize(drawn.join(later.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), "new")
+        made.append(new)
+        have, draw = have + new.count(), 2 * draw
+        if have >= n:
+            break
+        covered = align(free.select("id", "sequence"), new.select("id", "sequence"), conf.align).where(F.col("match_score") > th).select(F.col("query_id").alias("id"))
+        free = materialize(free.join(covered.unionByName(new.select("id")).distinct(), "id", "left_anti"), "free")
+    out = made[0] if made else free
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.select("id", "sequence")
 
 
 def _number(rows: DataFrame) -> DataFrame:
-    """Centres with ids ``cluster0, cluster1, ...`` in order of their sequence; there are few of them."""
-    distinct = rows.groupBy("sequence").agg(F.max("split").alias("split"))
-    return distinct.withColumn("id", F.concat(F.lit("cluster"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sequence")) - 1)).select("id", "sequence", "split")
+    """Centres named by a hash of their sequence, each sequence once."""
+    return rows.groupBy("sequence").agg(F.max("split").alias("split")).select(F.concat(F.lit("cluster"), F.lower(F.hex(F.xxhash64("sequence")))).alias("id"), "sequence", "split")
+
+
+def cluster_eval(seqs: DataFrame, centres: DataFrame, conf: ClusterConf = ClusterConf()) -> tuple[DataFrame, DataFrame]:
+    """The best hit of each sequence on each centre, on the forward strand, and the centres that got any."""
+    found = materialize(_hits(seqs, centres, conf), "hits")
+    return found, centres.join(found.select(F.col("database_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def perform_cluster(seqs: DataFrame, centres: DataFrame | None = None, conf: ClusterConf = ClusterConf()) -> DataFrame:
     """Cluster centres ``id, sequence, split`` of ``seqs (id, sequence)``: draw or take start centres, then per round
-    split centres with several clusters among their hits, sweep what no centre covers, and merge like centres.
+    split centres with several clusters among their hits, sweep what no centre covers, and merge like centres; at the end
+    all are split and merged once more.
 
     Every round is a fixed number of jobs whatever the number of centres; what is clustered inside one centre, or swept,
     is a sample by hash of at most ``sample`` sequences, as the method asks for.
     """
-    seqs = materialize(seqs.where("id is not null and length(sequence) > 0").select("id", "sequence").dropDuplicates(["id"]), "seqs")
+    seqs = materialize(seqs.where("id is not null and length(sequence) > 0").select("id", "sequence").groupBy("id").agg(F.min("sequence").alias("sequence")), "seqs")
     now = materialize((cover_sample(seqs, conf.seeds, conf, 0.8) if centres is None else centres.select("id", "sequence")).withColumn("split", F.lit(True)), "centres")
     for turn in range(conf.max_iter):
         now = materialize(_number(_merge(seqs, _sweep(seqs, _split(seqs, now, conf, turn), conf, turn), conf)), "centres")
-    return now
+    last = _split(seqs, now.withColumn("split", F.lit(True)), conf, conf.max_iter)
+    now = materialize(_number(_merge(seqs, last, conf)), "centres")
+    return cluster_eval(seqs, now, conf)[1]
 
 
 def _hits(seqs: DataFrame, centres: DataFrame, conf: ClusterConf) -> DataFrame:

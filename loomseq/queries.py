@@ -11,6 +11,7 @@ from loomseq.functions import dna
 from loomseq.operators import hits as H
 from loomseq.operators import intervals, matrix, stats
 from loomseq.session import table
+from loomseq.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,9 +169,76 @@ def length_filter_ranges(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).where(dna.in_size_ranges(n, dna.size_ranges("500-1200,2000-3000"))).select("id", n.cast("bigint").alias("n"))
 
 
-@query(f"with {_READS}, {_HITS} select id from reads where not exists (select 1 from hits where query_id = id)")
+@query(f"with {_READS}, {_HITS} select id from reads where not exists (select 1 from hits where query_id = id and database_id like 'HAP%')")
 def exclude_anti(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).join(hits(spark, d).select(F.col("query_id").alias("id")), "id", "left_anti").select("id")
+    """Reads without a hit on any of the main haplotypes."""
+    return tables.exclude(reads(spark, d), hits(spark, d).where(F.col("database_id").startswith("HAP"))).select("id")
+
+
+@query("select distinct query_id as id from alignments where query_id is not null intersect select id from pseudo_ref")
+def id_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudo references that were aligned to something."""
+    return table(spark, d, "alignments").where("query_id is not null").select(F.col("query_id").alias("id")).intersect(table(spark, d, "pseudo_ref").select("id"))
+
+
+@query(f"with {_HITS} select hit_id from hits where database_id not like 'HAP%' and contains(query_id, '_frag') and q_len > 0")
+def id_filters(spark: SparkSession, d: str) -> DataFrame:
+    return hits(spark, d).where(~F.col("database_id").startswith("HAP") & F.col("query_id").contains("_frag") & (F.col("q_len") > 0)).select("hit_id")
+
+
+@query(
+    f"""with {_HITS}, pr as (select distinct id from pseudo_ref where id is not null), best as (select *, row_number() over (partition by query_id order by as_score desc nulls last, hit_id) as r from hits where database_id like 'HAP%'),
+own as (select *, row_number() over (partition by query_id order by as_score desc nulls last, hit_id) as r from hits where database_id in (select upper(trim(id)) from pr) and database_id <> upper(trim(query_id)))
+select pr.id, a.database_id as ref_id, round(a.similarity + 1e-9, 6) as ref_match, b.database_id as clst_id, round(b.similarity + 1e-9, 6) as clst_match
+from pr left join best a on a.query_id = pr.id and a.r = 1 left join own b on b.query_id = pr.id and b.r = 1"""
+)
+def match_haplotypes(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudo references with their best main haplotype and their best other pseudo reference."""
+    from loomseq.plans import pipeline
+
+    ids = table(spark, d, "pseudo_ref").where("id is not null")
+    h = hits(spark, d)
+    own = h.join(ids.select(F.upper(F.trim("id")).alias("database_id")).distinct(), "database_id", "left_semi").where(F.col("database_id") != F.upper(F.trim("query_id")))
+    m = pipeline.match_haplotypes(ids, h.where(F.col("database_id").startswith("HAP")), own)
+    return m.withColumns({c: r6(c) for c in ("ref_match", "clst_match")})
+
+
+@query(f"with {_HITS} select query_id as qname, case when orientation = '-' then 16 else 0 end as flag, case when orientation = '-' then '-' else '+' end as orientation, database_id as rname, t_start + 1 as pos, mapq, coalesce(cigar, '*') as cigar, coalesce(as_score, 0) as as_score, coalesce(nm, 0) as nm, hit_id from hits")
+def sam_shape(spark: SparkSession, d: str) -> DataFrame:
+    """All hits as SAM records, the strand read back from the flag."""
+    from loomseq.operators.align import to_sam
+
+    return to_sam(hits(spark, d)).withColumn("orientation", F.when(dna.is_reverse(F.col("flag")), "-").otherwise("+"))
+
+
+@query(
+    """select id, sequence, list_aggregate(list_transform(range(1, length(sequence) + 1), lambda k: case when substr(sequence, k, 1) = '-' then '"'
+    else substr(quality, k - length(substr(sequence, 1, k)) + length(replace(substr(sequence, 1, k), '-', '')), 1) end), 'string_agg', '') as quality from pseudo_ref where length(sequence) > 0 and quality is not null"""
+)
+def phred_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Quality strings of pseudo references stretched to their gaps."""
+    t = table(spark, d, "pseudo_ref").where("length(sequence) > 0 and quality is not null")
+    return t.select("id", "sequence", dna.phred_gap(F.col("sequence"), F.col("quality")).alias("quality"))
+
+
+@query(
+    f"""with {_HITS}, {_READS}, refs as (select upper(trim(id)) as id, sequence from ref_db), parts as (
+  select h.hit_id, h.cigar, case when h.orientation = '-' then reverse(translate(upper(substr(r.sequence, h.q_start + 1, h.q_end - h.q_start)), 'ATGCRYKMBVDH', 'TACGYRMKVBHD')) else substr(r.sequence, h.q_start + 1, h.q_end - h.q_start) end as q, substr(t.sequence, h.t_start + 1) as t
+  from hits h join reads r on r.id = h.query_id join refs t on t.id = h.database_id where h.cigar is not null and h.q_end > h.q_start and h.q_start >= 0 and r.sequence is not null and t.sequence is not null),
+ops as (select hit_id, q, t, unnest(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 1))::int as n, unnest(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 2)) as op, generate_subscripts(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 1), 1) as k from parts),
+places as (select *, coalesce(sum(case when op <> 'D' then n end) over (partition by hit_id order by k rows between unbounded preceding and 1 preceding), 0)::int as i,
+  coalesce(sum(case when op <> 'I' then n end) over (partition by hit_id order by k rows between unbounded preceding and 1 preceding), 0)::int as j from ops)
+select hit_id, string_agg(case when op = 'S' then lower(substr(q, i + 1, n)) when op = 'D' then repeat('-', n) else substr(q, i + 1, n) end, '' order by k) as query,
+  string_agg(case when op = 'I' then repeat('-', n) else substr(t, j + 1, n) end, '' order by k) as target, string_agg(repeat(case when op in ('M', '=') then '|' else ' ' end, n), '' order by k) as ticks from places group by hit_id"""
+)
+def cigar_align(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of reads on the truth database written out with their gaps."""
+    h = hits(spark, d).where("cigar is not null and q_end > q_start and q_start >= 0").select("hit_id", "query_id", "database_id", "orientation", "q_start", "q_end", "t_start", "cigar")
+    refs = table(spark, d, "ref_db").where("sequence is not null").select(F.upper(F.trim("id")).alias("database_id"), F.col("sequence").alias("_t"))
+    j = h.join(reads(spark, d).select(F.col("id").alias("query_id"), "sequence"), "query_id").join(refs, "database_id")
+    q = dna.slice_strand(F.col("sequence"), F.col("q_start"), F.col("q_end"), F.col("orientation"))
+    a = dna.cigar_align(q, F.expr("substring(_t, t_start + 1)"), F.col("cigar"))
+    return j.select("hit_id", a.alias("a")).select("hit_id", "a.query", "a.target", "a.ticks")
 
 
 @query(f"with {_READS}, {_HITS} select id, length(sequence)::bigint as n, exists (select 1 from hits where query_id = id) as mapped from reads")
@@ -325,6 +393,23 @@ def primer_error(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", r6(dna.primer_error(*[F.col(c) for c in ("fwd_n_match", "fwd_tot", "rev_n_match", "rev_tot")])).alias("primer_error"))
 
 
+@query(
+    f"""with {_HITS}, {_READS}, {_PAIRS}, m as (select query_id as id, case when pdir = 'fwd' then q_start when pair then ns end as fs, case when pdir = 'fwd' then q_end when pair then ne end as fe, case when pdir = 'fwd' then orientation when pair then no end as fo,
+    case when pdir = 'rev' then q_start when pair then ns end as rs, case when pdir = 'rev' then q_end when pair then ne end as re, case when pdir = 'rev' then orientation when pair then no end as ro from best),
+p as (select r.id, r.sequence, fs, fe, rs, re, length(r.sequence) as n, coalesce(fo, ro) = case when fo is not null then '+' else '-' end as plus from reads r join m on m.id = r.id),
+b as (select *, case when plus then coalesce(fe, 0) else coalesce(re, 0) end as a, case when plus then coalesce(rs, n) else coalesce(fs, n) end as z from p),
+c as (select id, plus, substr(sequence, fs + 1, greatest(fe - fs, 0)) as f, case when z > a then substr(sequence, a + 1, z - a) else '' end as s, substr(sequence, rs + 1, greatest(re - rs, 0)) as r from b)
+select id, case when plus then f else reverse(translate(upper(f), 'ATGCRYKMBVDH', 'TACGYRMKVBHD')) end as fwd_primer_seq, case when plus then s else reverse(translate(upper(s), 'ATGCRYKMBVDH', 'TACGYRMKVBHD')) end as sequence,
+  case when plus then r else reverse(translate(upper(r), 'ATGCRYKMBVDH', 'TACGYRMKVBHD')) end as rev_primer_seq from c where length(s) > 10"""
+)
+def trim_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The trimming rule over all reads, with pairs of given hits in place of primers."""
+    from loomseq.plans import pipeline
+
+    p = hits(spark, d).where("as_score is not null").withColumn("pdir", F.when(F.col("hit_id") % 2 == 0, "fwd").otherwise("rev"))
+    return pipeline.trim(H.primer_pairs(p), reads(spark, d).select("id", "sequence")).select("id", "fwd_primer_seq", "sequence", "rev_primer_seq")
+
+
 @query(f"with {_HITS} select hit_id, round(s1 / (s1 + max(s1) over (partition by query_id))::double + 1e-9, 6) as weight from hits where s1 > 0")
 def hit_weight(spark: SparkSession, d: str) -> DataFrame:
     return H.hit_weights(hits(spark, d).where("s1 > 0")).select("hit_id", r6("weight").alias("weight"))
@@ -379,6 +464,21 @@ def cluster_subsample(spark: SparkSession, d: str) -> DataFrame:
     return stats.sample_by_weight(w, "database_id", F.col("weight"), F.col("hit_id"), "as_score", 100).select("database_id", "hit_id")
 
 
+@query(f"with {_HITS} select database_id, hit_id from hits where s1 > 0 qualify row_number() over (partition by database_id order by {_HASH.format(k='hit_id', s=0)}, hit_id) <= 100")
+def cluster_subsample_rand(spark: SparkSession, d: str) -> DataFrame:
+    w = H.hit_weights(hits(spark, d).where("s1 > 0"))
+    return stats.sample_by_weight(w, "database_id", F.col("weight"), F.col("hit_id"), "as_score", 100, "rand").select("database_id", "hit_id")
+
+
+@query(
+    f"""with {_HITS}, w as (select *, s1 / (s1 + max(s1) over (partition by query_id))::double as weight from hits where s1 > 0)
+select database_id, hit_id from w where weight >= 0.5 or {_HASH.format(k='hit_id', s=1)} < weight qualify row_number() over (partition by database_id order by {_HASH.format(k='hit_id', s=0)}, hit_id) <= 100"""
+)
+def cluster_subsample_semi(spark: SparkSession, d: str) -> DataFrame:
+    w = H.hit_weights(hits(spark, d).where("s1 > 0"))
+    return stats.sample_by_weight(w, "database_id", F.col("weight"), F.col("hit_id"), "as_score", 100, "semi").select("database_id", "hit_id")
+
+
 @query("select o_orderstatus as status, sum(greatest(floor(o_totalprice / 50000), 0))::bigint as copies from orders where floor(o_totalprice / 50000) > 0 group by 1")
 def weight_replicate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.floor(F.col("o_totalprice") / 50000).alias("w"))
@@ -492,6 +592,37 @@ def trimmed_consensus(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.trim(pipeline.match_primers(table(spark, d, "primers"), cons.select("id", "sequence")), cons)
 
 
+_SHARED = """words as (select distinct kind, id, substr(s, k, 12) as w from (select kind, id, s, unnest(range(1, length(s) - 10)) as k from (
+  select 'q' as kind, id, upper(sequence) as s from pseudo_ref where id is not null union all select 't', id, upper(sequence) from ref_db where id is not null) where length(s) >= 12)),
+shared as (select a.id as query_id, b.id as database_id, count(*) as n_shared from words a join words b on a.w = b.w where a.kind = 'q' and b.kind = 't' group by 1, 2 having count(*) >= 3)"""
+
+
+@query(f"with {_SHARED} select query_id, database_id, n_shared from shared")
+def kmer_join(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudo references and truth-database items that share words of 12 letters."""
+    from loomseq.operators.align import kmer_join as join
+
+    return join(table(spark, d, "pseudo_ref"), table(spark, d, "ref_db"))
+
+
+@query(f"with {_SHARED}, q as (select id, min(upper(sequence)) as s from pseudo_ref group by id), t as (select id, min(upper(sequence)) as s from ref_db group by id) select query_id, database_id, levenshtein(substr(q.s, 1, 60), substr(t.s, 1, 60)) as edits from shared join q on q.id = query_id join t on t.id = database_id")
+def edit_distance_join(spark: SparkSession, d: str) -> DataFrame:
+    from loomseq.operators.align import edit_distance_join as join
+
+    return join(table(spark, d, "pseudo_ref"), table(spark, d, "ref_db"))
+
+
+@query()
+def semi_global_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every primer fitted into every pseudo reference, on its better strand."""
+    from loomseq.operators.align import fit_pairs
+    from loomseq.plans import pipeline
+
+    known = F.array(*[F.struct(F.lit(i).alias("database_id"), F.lit("".join(x.upper().split())).alias("target")) for i, _, x in pipeline.primer_list(table(spark, d, "primers"))])
+    pairs = table(spark, d, "pseudo_ref").where("id is not null and length(sequence) > 0").groupBy(F.col("id").alias("query_id")).agg(F.min("sequence").alias("query")).withColumn("p", F.explode(known))
+    return fit_pairs(pairs.select("query_id", "query", "p.database_id", "p.target")).withColumn("similarity", r6("similarity"))
+
+
 # --- clusters ----------------------------------------------------------------------------------------------------------
 
 
@@ -564,3 +695,12 @@ def pca_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
     return pca(table(spark, d, "embeddings"), "embedding", 2).select("vec_id", r6(F.col("components")[0]).alias("f_0"), r6(F.col("components")[1]).alias("f_1"))
 
+
+
+@query()
+def cluster_centres(spark: SparkSession, d: str) -> DataFrame:
+    """Split, sweep and merge over the pseudo references: the centres that have hits."""
+    from loomseq.operators.cluster import perform_cluster
+
+    seqs = table(spark, d, "pseudo_ref").where("id is not null and sequence is not null").select("id", dna.degap(F.col("sequence")).alias("sequence"))
+    return perform_cluster(seqs)
