@@ -225,7 +225,7 @@ def phred_gap(spark: SparkSession, d: str) -> DataFrame:
     f"""with {_HITS}, {_READS}, refs as (select upper(trim(id)) as id, sequence from ref_db), parts as (
   select h.hit_id, h.cigar, case when h.orientation = '-' then reverse(translate(upper(substr(r.sequence, h.q_start + 1, h.q_end - h.q_start)), 'ATGCRYKMBVDH', 'TACGYRMKVBHD')) else substr(r.sequence, h.q_start + 1, h.q_end - h.q_start) end as q, substr(t.sequence, h.t_start + 1) as t
   from hits h join reads r on r.id = h.query_id join refs t on t.id = h.database_id where h.cigar is not null and h.q_end > h.q_start and h.q_start >= 0 and r.sequence is not null and t.sequence is not null),
-ops as (select hit_id, q, t, unnest(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 1))::int as n, unnest(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 2)) as op, generate_subscripts(regexp_extract_all(cigar, '(\d+)([MIDSX=])', 1), 1) as k from parts),
+ops as (select hit_id, q, t, unnest(regexp_extract_all(cigar, '(\\d+)([MIDSX=])', 1))::int as n, unnest(regexp_extract_all(cigar, '(\\d+)([MIDSX=])', 2)) as op, generate_subscripts(regexp_extract_all(cigar, '(\\d+)([MIDSX=])', 1), 1) as k from parts),
 places as (select *, coalesce(sum(case when op <> 'D' then n end) over (partition by hit_id order by k rows between unbounded preceding and 1 preceding), 0)::int as i,
   coalesce(sum(case when op <> 'I' then n end) over (partition by hit_id order by k rows between unbounded preceding and 1 preceding), 0)::int as j from ops)
 select hit_id, string_agg(case when op = 'S' then lower(substr(q, i + 1, n)) when op = 'D' then repeat('-', n) else substr(q, i + 1, n) end, '' order by k) as query,
@@ -584,12 +584,10 @@ def consensus_per_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trimmed_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """All stages from reads to trimmed consensus sequences."""
+    """All stages from reads to trimmed consensus sequences, on the pseudo references of the reads themselves."""
     from loomseq.plans import pipeline
-    from loomseq.session import materialize
 
-    cons = materialize(consensus_per_read(spark, d), "consensus")
-    return pipeline.trim(pipeline.match_primers(table(spark, d, "primers"), cons.select("id", "sequence")), cons)
+    return pipeline.run(reads(spark, d).select("id", "sequence", "quality"), table(spark, d, "primers"))["trmc"]
 
 
 _SHARED = """words as (select distinct kind, id, substr(s, k, 12) as w from (select kind, id, s, unnest(range(1, length(s) - 10)) as k from (
