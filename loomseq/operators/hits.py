@@ -9,9 +9,9 @@ from loomseq.functions.dna import similarity
 
 
 def clean_hits(raw: DataFrame) -> DataFrame:
-    """Each ``hit_id`` once (the latest load), database ids trimmed and in upper case, ``similarity`` between 0 and 1
-    (percentages divided, null taken from ``nm`` and the lengths)."""
-    order = Window.partitionBy("hit_id").orderBy(F.col("loaded_at").desc_nulls_last())
+    """Each ``hit_id`` once (the latest load, of equal ones the higher ``as_score``, then the smaller ``nm``), database ids
+    trimmed and in upper case, ``similarity`` between 0 and 1 (percentages divided, null taken from ``nm`` and the lengths)."""
+    order = Window.partitionBy("hit_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.col("as_score").desc_nulls_last(), F.col("nm").asc_nulls_last())
     once = raw.where("hit_id is not null").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
     sim = F.when(F.col("similarity") > 1, F.col("similarity") / 100).otherwise(F.coalesce("similarity", similarity(F.col("nm"), F.col("q_len"), F.col("t_len"))))
     return once.withColumn("database_id", F.upper(F.trim("database_id"))).withColumn("similarity", sim)

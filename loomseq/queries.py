@@ -44,7 +44,7 @@ _HITS = """hits as (
     case when similarity > 1 then similarity / 100
          else coalesce(similarity, case when least(q_len, t_len) > 0 then greatest(0.0, 1 - nm / least(q_len, t_len)::double) end) end as similarity)
   from alignments where hit_id is not null
-  qualify row_number() over (partition by hit_id order by loaded_at desc nulls last) = 1)"""
+  qualify row_number() over (partition by hit_id order by loaded_at desc nulls last, as_score desc nulls last, nm nulls last) = 1)"""
 _READS = "reads as (select * from ont_reads where id is not null and sequence is not null qualify row_number() over (partition by id order by loaded_at desc) = 1)"
 _ISLANDS = """reach as (select *, max(q_end) over (partition by query_id order by q_start, hit_id rows between unbounded preceding and 1 preceding) as reach from hits),
 flagged as (select *, case when reach is null or q_start > reach or (q_start > reach - {t} and q_end - q_start > 2 * {t}) then 1 else 0 end as opens from reach),

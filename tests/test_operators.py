@@ -275,6 +275,49 @@ def test_groups_and_density(spark):
     assert {r["id"] for r in graph.single_linkage(long, 0.5).where("size = 1").collect()} == {"p36"}
 
 
+def test_density_order_of_a_group_larger_than_its_matrix(spark):
+    x = np.concatenate([np.linspace(0, 1, 20), np.linspace(5, 6, 20)])
+    rows = [("all", f"p{i:02d}", f"p{j:02d}", float(abs(x[i] - x[j]))) for i in range(40) for j in range(40) if i != j]
+    long = spark.createDataFrame(rows, "g string, row_id string, col_id string, value double")
+    got = {r["id"]: r for r in cluster.density_order(long, "g", 2, 0.6, most=16).collect()}
+    assert len(got) == 40 and sum(r["ordering"] is not None for r in got.values()) == 16
+    assert len({got[f"p{i:02d}"]["cluster_id"] for i in range(20)}) == 1 and len({r["cluster_id"] for r in got.values()}) == 2
+
+
+def test_cluster_centres_cover_the_haplotypes(spark):
+    rng = random.Random(5)
+    haps = [dna(rng, 220) for _ in range(3)]
+    seqs = [(f"s{i:02d}", mutate(rng, haps[i % 3], 0.05)) for i in range(24)]
+    got = cluster.perform_cluster(spark.createDataFrame(seqs, "id string, sequence string")).collect()
+    from loomseq.operators._dp import align_pairs
+
+    near = [min(align_pairs([r["sequence"]], [h], "global")[0][6] for h in haps) for r in got]
+    best = [min(align_pairs([r["sequence"]], [h], "global")[0][6] for r in got) for h in haps]
+    assert max(best) <= 8 and len(got) <= 8 and max(near) <= 30
+
+
+def test_fit_pairs(spark):
+    from loomseq.operators.align import fit_pairs
+
+    p = "ACGGTTACCAGTACGGATCA"
+    rows = [("a", "TT" + p + "GG", "p", p), ("b", "TT" + back(p[:9] + p[10:]) + "GGG", "p", p), ("c", "", "p", p), ("d", None, "p", p)]
+    got = {r["query_id"]: r for r in fit_pairs(spark.createDataFrame(rows, "query_id string, query string, database_id string, target string")).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"]["orientation"], got["a"]["q_start"], got["a"]["q_end"], got["a"]["nm"], got["a"]["cigar"], got["a"]["similarity"]) == ("+", 2, 22, 0, "20M", 1.0)
+    assert (got["b"]["orientation"], got["b"]["q_start"], got["b"]["q_end"], got["b"]["nm"]) == ("-", 2, 21, 1)
+
+
+def test_alignment_at_two_thirds_identity(spark):
+    rng = random.Random(23)
+    refs = [(f"h{i}", dna(rng, 600)) for i in range(30)]
+    reads = [(f"q{i}", back(x) if i % 2 else x) for i, x in ((i, mutate(rng, refs[i % 30][1], 0.33)) for i in range(40))]
+    from loomseq.operators.align import ACCURACY
+
+    found = align(spark.createDataFrame(reads, "id string, sequence string"), spark.createDataFrame(refs, "id string, sequence string"), ACCURACY)
+    got = {r["query_id"]: r["database_id"] for r in hits.best_hits(found, ["query_id"]).collect()}
+    assert sum(got.get(f"q{i}") == f"h{i % 30}" for i in range(40)) >= 36
+
+
 def test_schema_checks(spark):
     assert schema.sequence_set_kind(spark.createDataFrame([], "id string, sequence string, quality string")) == "fastq"
     with pytest.raises(ValueError):
