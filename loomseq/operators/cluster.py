@@ -204,7 +204,8 @@ def cover_sample(seqs: DataFrame, n: int, conf: ClusterConf, th: float = 0.9, se
         drawn = materialize(free.orderBy("_r", "id").limit(min(draw, n - have)), "drawn")
         if not drawn.take(1):
             break
-        found = align(drawn.select("id", "sequence"), drawn.select("id", "sequence"), conf.align).where(F.col("match_score") > th)
+        own = drawn.select("id", "sequence")
+        found = align(own, own, conf.align).where(F.col("match_score") > th)
         rank = drawn.select("id", "_r")
         later = found.join(rank.select(F.col("id").alias("query_id"), F.col("_r").alias("_q")), "query_id").join(rank.select(F.col("id").alias("database_id"), F.col("_r").alias("_d")), "database_id").where("_d < _q")
         new = materialize(drawn.join(later.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), "new")
