@@ -235,7 +235,7 @@ def cluster_eval(seqs: DataFrame, centres: DataFrame, conf: ClusterConf = Cluste
 def perform_cluster(seqs: DataFrame, centres: DataFrame | None = None, conf: ClusterConf = ClusterConf()) -> DataFrame:
     """Cluster centres ``id, sequence, split`` of ``seqs (id, sequence)``: draw or take start centres, then per round
     split centres with several clusters among their hits, sweep what no centre covers, and merge like centres; at the end
-    all are split and merged once more.
+    those still marked are split, and all merged, once more.
 
     Every round is a fixed number of jobs whatever the number of centres; what is clustered inside one centre, or swept,
     is a sample by hash of at most ``sample`` sequences, as the method asks for.
@@ -244,7 +244,7 @@ def perform_cluster(seqs: DataFrame, centres: DataFrame | None = None, conf: Clu
     now = materialize((cover_sample(seqs, conf.seeds, conf, 0.8) if centres is None else centres.select("id", "sequence")).withColumn("split", F.lit(True)), "centres")
     for turn in range(conf.max_iter):
         now = materialize(_number(_merge(seqs, _sweep(seqs, _split(seqs, now, conf, turn), conf, turn), conf)), "centres")
-    last = _split(seqs, now.withColumn("split", F.lit(True)), conf, conf.max_iter)
+    last = _split(seqs, now, conf, conf.max_iter)
     now = materialize(_number(_merge(seqs, last, conf)), "centres")
     return cluster_eval(seqs, now, conf)[1]
 
