@@ -106,3 +106,9 @@ def test_gate_lets_pairs_over_the_limit_pass():
     assert (near >= 0.62).mean() > 0.98
     far = _dna.block_similarities([p[0] for p in pairs], [dna(rng, 600) for _ in pairs], 0.62)
     assert (far < 0.5).all()
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(14)
+    a, b = ([dna(rng, rng.randint(0, 90)) + "N" * (n % 3) for n in range(150)] for _ in range(2))
+    assert _dna.edit_distances(a, b).tolist() == [_dna.edit_distance(x, y) for x, y in zip(a, b)]
