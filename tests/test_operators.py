@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,49 @@ def test_consensus_of_a_group_larger_than_a_task(spark):
         assert align_pairs([r["sequence"]], [h[g]], "global")[0][6] <= (1 if g != "b" else 6)
 
 
+def test_groups_are_voted_on_by_many_tasks(spark):
+    rng = random.Random(18)
+    h = {f"g{i:02d}": dna(rng, 60) for i in range(40)}
+    df = spark.createDataFrame([(g, s, None) for g, s in h.items() for _ in range(3)], "id string, sequence string, quality string")
+    out = consensus_per_group(df)
+    sc = spark.sparkContext
+    sc.setJobGroup("votes", "votes")
+    assert {r["id"]: r["sequence"] for r in out.collect()} == h
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(i) for j in track.getJobIdsForGroup("votes") for i in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4 * sc.defaultParallelism
+
+
+def test_chains_and_cells_are_those_of_the_plain_method():
+    rng = random.Random(19)
+    from loomseq.operators import _dp
+    from loomseq.operators.align import FRAGMENTS, _chain
+
+    scores = _dp.Scores()
+
+    def best(q, t):  # local score by the plain table
+        row, top = [0] * (len(t) + 1), 0
+        for x in q:
+            new = [0]
+            for j, y in enumerate(t, 1):
+                new.append(max(0, row[j - 1] + (scores.match if x == y else scores.mismatch), row[j] + scores.gap, new[-1] + scores.gap))
+            row, top = new, max(top, max(new))
+        return top
+
+    for _ in range(3):  # the cells of one call do not show in the next one, which may be smaller
+        pairs = [(mutate(rng, s, 0.3), s) for s in (dna(rng, rng.randint(5, 80)) for _ in range(9))]
+        got = _dp.align_pairs([q for q, _ in pairs], [t for _, t in pairs])
+        assert [r[0] for r in got] == [best(q, t) for q, t in pairs]
+        room = _dp._KEPT.room
+        assert _dp.align_pairs(["ACGT"], ["ACGT"])[0][:5] == (8, 0, 4, 0, 4) and _dp._KEPT.room is room
+    refs = [dna(rng, 400) for _ in range(6)]
+    reads = [mutate(rng, refs[i % 6], 0.2) for i in range(6)] + [dna(rng, 300)]
+    q = pd.DataFrame({"id": [f"q{i}" for i in range(7)], "sequence": reads})
+    t = pd.DataFrame({"id_2": [f"h{i}" for i in range(6)], "sequence_2": refs})
+    found = _chain(FRAGMENTS)(q, t)
+    assert {(r.query_id, r.database_id, r.orientation) for r in found.itertuples()} >= {(f"q{i}", f"h{i}", "+") for i in range(6)}
+
+
 def test_pipeline_on_synthetic_concatemers(spark):
     rng = random.Random(11)
     fwd, rev = "ACGGTTACCAGTACGGATCA", "TTGGCCAATCGCATTACGGT"
