@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.functions import dna
 from loomseq.operators import hits as H
 from loomseq.operators import matrix, stats
-from loomseq.operators.align import CLUSTERING, AlignConf, align, strand_free_conf
+from loomseq.operators.align import CLUSTERING, AlignConf, _clean, align, strand_free_conf
 from loomseq.operators.consensus import consensus_per_group
 from loomseq.session import materialize
 
@@ -167,12 +168,12 @@ class ClusterConf:
     align: AlignConf = field(default_factory=lambda: strand_free_conf(CLUSTERING))
 
 
-def pairwise_distance(seqs: DataFrame, group: str, conf: ClusterConf) -> DataFrame:
+def pairwise_distance(seqs: DataFrame, group: str, conf: ClusterConf, clean: bool = False) -> DataFrame:
     """``<group>, row_id, col_id, value``: distances of the sequences inside each group, by alignment of ids ``group/id``
-    so that one seed join serves all groups; only seeds of one group meet."""
+    so that one seed join serves all groups; only seeds of one group meet. ``clean`` as in ``align``."""
     named = seqs.select(F.concat_ws("\x1f", F.col(group).cast("string"), "id").alias("id"), "sequence")
     part = lambda c, i: F.split(c, "\x1f")[i]
-    best = H.best_hits(align(named, named, conf.align, within=lambda c: part(c, 0)), ["query_id", "database_id"])
+    best = H.best_hits(align(named, named, conf.align, lambda c: part(c, 0), True, clean), ["query_id", "database_id"])
     long = matrix.to_distance(matrix.symmetric(matrix.feature_long(best, "similarity")))
     return long.select(part("row_id", 0).alias(group), part("row_id", 1).alias("row_id"), part("col_id", 1).alias("col_id"), "value")
 
@@ -180,8 +181,9 @@ def pairwise_distance(seqs: DataFrame, group: str, conf: ClusterConf) -> DataFra
 def cluster_groups(seqs: DataFrame, group: str, conf: ClusterConf, min_samples: int | None = None, max_eps: float | None = None) -> DataFrame:
     """``<group>, cluster_id, id, sequence, n_frags``: the clusters inside each group of sequences and their centres, the
     consensus of the first ``csize`` members in density order. All groups are one job."""
-    seqs = materialize(seqs.select(F.col(group).cast("string").alias(group), "id", "sequence"), "groups")
-    dist = pairwise_distance(seqs, group, conf)
+    rows = seqs.select(F.col(group).cast("string").alias(group), F.col("id").cast("string").alias("id"), dna.degap(F.col("sequence")).alias("sequence"))
+    seqs = materialize(rows.where("id is not null and sequence <> ''").groupBy(group, "id").agg(F.min("sequence").alias("sequence")), "groups")
+    dist = pairwise_distance(seqs, group, conf, True)
     order = density_order(dist, group, min_samples, max_eps, conf.sample).where("cluster_id >= 0")
     order = order.withColumn("_c", F.concat_ws("\x1f", group, "cluster_id"))
     first = H.first_members(order, "_c", [F.col("ordering"), F.col("id")], conf.csize)
@@ -197,23 +199,25 @@ def cover_sample(seqs: DataFrame, n: int, conf: ClusterConf, th: float = 0.9, se
     A round draws twice as many as the one before; of those drawn that cover each other the first stays. So the rare
     sequences that the first draws miss are drawn later, in a few rounds of joins.
     """
-    free = materialize(seqs.select("id", "sequence", F.xxhash64("id", F.lit(seed)).alias("_r")), "free")
+    free = materialize(_clean(seqs).select("id", "sequence", F.xxhash64("id", F.lit(seed)).alias("_r")), "free")
     made: list[DataFrame] = []
     have, draw = 0, max(1, n // 8)
     for _ in range(rounds):
-        drawn = materialize(free.orderBy("_r", "id").limit(min(draw, n - have)), "drawn")
-        if not drawn.take(1):
+        new = drawn = materialize(free.orderBy("_r", "id").limit(min(draw, n - have)), "drawn")
+        many = drawn.count()
+        if not many:
             break
-        own = drawn.select("id", "sequence")
-        found = align(own, own, conf.align).where(F.col("match_score") > th)
-        rank = drawn.select("id", "_r")
-        later = found.join(rank.select(F.col("id").alias("query_id"), F.col("_r").alias("_q")), "query_id").join(rank.select(F.col("id").alias("database_id"), F.col("_r").alias("_d")), "database_id").where("_d < _q")
-        new = materialize(drawn.join(later.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), "new")
+        if many > 1:
+            own = drawn.select("id", "sequence")
+            found = align(own, own, conf.align, clean=True).where(F.col("match_score") > th)
+            rank = drawn.select("id", "_r")
+            later = found.join(rank.select(F.col("id").alias("query_id"), F.col("_r").alias("_q")), "query_id").join(rank.select(F.col("id").alias("database_id"), F.col("_r").alias("_d")), "database_id").where("_d < _q")
+            new = materialize(drawn.join(later.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), "new")
         made.append(new)
         have, draw = have + new.count(), 2 * draw
         if have >= n:
             break
-        covered = align(free.select("id", "sequence"), new.select("id", "sequence"), conf.align).where(F.col("match_score") > th).select(F.col("query_id").alias("id"))
+        covered = align(free.select("id", "sequence"), new.select("id", "sequence"), conf.align, clean=True).where(F.col("match_score") > th).select(F.col("query_id").alias("id"))
         free = materialize(free.join(covered.unionByName(new.select("id")).distinct(), "id", "left_anti"), "free")
     out = made[0] if made else free
     for more in made[1:]:
@@ -228,7 +232,7 @@ def _number(rows: DataFrame) -> DataFrame:
 
 def cluster_eval(seqs: DataFrame, centres: DataFrame, conf: ClusterConf = ClusterConf()) -> tuple[DataFrame, DataFrame]:
     """The best hit of each sequence on each centre, on the forward strand, and the centres that got any."""
-    found = materialize(_hits(seqs, centres, conf), "hits")
+    found = materialize(_hits(seqs, centres, conf, False), "hits")
     return found, centres.join(found.select(F.col("database_id").alias("id")).distinct(), "id", "left_semi")
 
 
@@ -240,8 +244,8 @@ def perform_cluster(seqs: DataFrame, centres: DataFrame | None = None, conf: Clu
     Every round is a fixed number of jobs whatever the number of centres; what is clustered inside one centre, or swept,
     is a sample by hash of at most ``sample`` sequences, as the method asks for.
     """
-    seqs = materialize(seqs.where("id is not null and length(sequence) > 0").select("id", "sequence").groupBy("id").agg(F.min("sequence").alias("sequence")), "seqs")
-    now = materialize((cover_sample(seqs, conf.seeds, conf, 0.8) if centres is None else centres.select("id", "sequence")).withColumn("split", F.lit(True)), "centres")
+    seqs = materialize(_clean(seqs), "seqs")
+    now = materialize((cover_sample(seqs, conf.seeds, conf, 0.8) if centres is None else _clean(centres)).withColumn("split", F.lit(True)), "centres")
     for turn in range(conf.max_iter):
         now = materialize(_number(_merge(seqs, _sweep(seqs, _split(seqs, now, conf, turn), conf, turn), conf)), "centres")
     last = _split(seqs, now, conf, conf.max_iter)
@@ -249,8 +253,8 @@ def perform_cluster(seqs: DataFrame, centres: DataFrame | None = None, conf: Clu
     return cluster_eval(seqs, now, conf)[1]
 
 
-def _hits(seqs: DataFrame, centres: DataFrame, conf: ClusterConf) -> DataFrame:
-    return H.best_hits(align(seqs, centres.select("id", "sequence"), conf.align), ["query_id", "database_id"])
+def _hits(seqs: DataFrame, centres: DataFrame, conf: ClusterConf, clean: bool = True) -> DataFrame:
+    return H.best_hits(align(seqs, centres.select("id", "sequence"), conf.align, best=True, clean=clean), ["query_id", "database_id"])
 
 
 def _split(seqs: DataFrame, now: DataFrame, conf: ClusterConf, turn: int) -> DataFrame:

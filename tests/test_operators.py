@@ -257,6 +257,43 @@ def test_chains_and_cells_are_those_of_the_plain_method():
     assert {(r.query_id, r.database_id, r.orientation) for r in found.itertuples()} >= {(f"q{i}", f"h{i}", "+") for i in range(6)}
 
 
+def test_many_pairs_are_aligned_as_few_are():
+    from loomseq.operators import _dp
+
+    rng = random.Random(29)
+    pairs = [(mutate(rng, s, 0.3), mutate(rng, s, 0.1)) for s in (dna(rng, rng.randint(3, 90)) for _ in range(70))]
+    q, t = [x or "A" for x, _ in pairs], [x or "C" for _, x in pairs]
+    for mode in ("local", "fit", "global"):
+        assert _dp.align_pairs(q, t, mode) == [_dp.align_pairs([x], [y], mode)[0] for x, y in zip(q, t)]
+    assert _dp.best_scores(q, t).tolist() == [r[0] for r in _dp.align_pairs(q, t)]
+
+
+def test_only_likely_pairs_are_aligned_letter_by_letter(spark, monkeypatch):
+    from loomseq.operators import align as module
+    from loomseq.operators.align import CLUSTERING
+
+    rng = random.Random(31)
+    base = dna(rng, 300)
+    seqs = spark.createDataFrame([(f"s{i}", mutate(rng, base, 0.02 + 0.03 * (i % 4))) for i in range(24)], "id string, sequence string")
+    plain = AlignConf(k=10, min_seeds=3, primary=0.0, self_hits=False)
+    sizes, texts = [], module.materialize
+
+    def written(df, name="t"):
+        out = texts(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    every = align(seqs, seqs, plain).toPandas()
+    monkeypatch.setattr(module, "materialize", written)
+    got = align(seqs, seqs, CLUSTERING, best=True).toPandas()
+    top = every.groupby("query_id")["as_score"].transform("max")
+    want = every[(every["as_score"] >= 0.9 * top) & (every["as_score"] == every.groupby(["query_id", "database_id"])["as_score"].transform("max"))]
+    names = sorted(every.columns)
+    key = lambda df: sorted(map(tuple, df[names].to_numpy().tolist()))
+    assert key(got) == key(want) and 0 < len(want) < len(every)
+    assert dict(sizes)["likely"] < dict(sizes)["chains"] == len(every)
+
+
 def test_pipeline_on_synthetic_concatemers(spark):
     rng = random.Random(11)
     fwd, rev = "ACGGTTACCAGTACGGATCA", "TTGGCCAATCGCATTACGGT"
