@@ -177,6 +177,30 @@ def test_approximate_matches():
     assert approximate_matches("ACGT", "", 1) == []
 
 
+def test_texts_are_scanned_together_as_alone():
+    from loomseq.operators.align import matches_in
+
+    rng = random.Random(37)
+    for _ in range(40):
+        p, texts = "".join(rng.choice("ACGTRYN") for _ in range(rng.randint(1, 20))), [dna(rng, rng.choice([0, 1, 6, 90])) for _ in range(7)]
+        for most in (0, 1, len(p) // 2):
+            assert matches_in(p, texts, most) == [approximate_matches(p, x, most) for x in texts]
+
+
+def test_patterns_are_looked_for_by_many_tasks(spark):
+    rng = random.Random(41)
+    df = spark.createDataFrame([(f"r{i}", dna(rng, 30)) for i in range(1000)], "id string, sequence string").coalesce(1)
+    assert match_patterns(df, [("p", "fwd", "ACGTACGT")], 0.1).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_groups_voted_on_together_are_as_alone():
+    from loomseq.operators.consensus import vote_many
+
+    rng = random.Random(43)
+    groups = [[(mutate(rng, base, 0.1), None) for _ in range(n)] for n in (0, 1, 2, 5, 9, 3) for base in [dna(rng, rng.randint(30, 120))]]
+    assert vote_many(groups) == [vote([x for x, _ in g]) for g in groups]
+
+
 def test_vote_reduces_errors():
     rng = random.Random(6)
     for _ in range(3):
