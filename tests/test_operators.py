@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -427,3 +428,35 @@ def test_schema_checks(spark):
     assert schema.sequence_set_kind(spark.createDataFrame([], "id string, sequence string, quality string")) == "fastq"
     with pytest.raises(ValueError):
         schema.require(spark.createDataFrame([], "a string"), "a", "b")
+
+
+def test_many_pairs_only_the_cells_that_count(monkeypatch):
+    """Pairs below the least score are scored but never walked over; the others come out as from the whole table."""
+    from loomseq.operators import _dp
+
+    rnd = random.Random(8)
+    some = lambda n, letters="ACGT": "".join(rnd.choice(letters) for _ in range(n))
+    pairs = [(some(rnd.randint(1, 90)), some(rnd.randint(1, 90))) for _ in range(40)]
+    pairs += [(some(20) + t[: len(t) // 2] + some(2) + t[len(t) // 2 :], t) for t in (some(rnd.randint(4, 80), x) for x in ("ACGT", "ACGTN", "ACGTRYWSKMN", "AC", "A") for _ in range(8))]
+    pairs += [("AC" * 30, "CA" * 25), ("A" * 300, "A" * 280)]
+    walked, walk = [], _dp._walk_many
+    monkeypatch.setattr(_dp, "_walk_many", lambda *a: walked.append(a[2]) or walk(*a))
+    q, t = [a for a, _ in pairs], [b for _, b in pairs]
+    for least in (0, 1, 40, 150):
+        want = [_dp.align_pairs([a], [b])[0] for a, b in pairs]
+        walked.clear()
+        assert _dp.align_many(q, t, least=least) == [x if x[0] >= least else None for x in want]
+        assert sum(walked) == sum(x[0] >= max(1, least) for x in want)
+    assert _dp.align_many(q, t, "global") == [_dp.align_pairs([a], [b], "global")[0] for a, b in pairs]
+
+
+def test_chains_far_below_the_best_leave_in_their_task():
+    from loomseq.operators import align as A
+
+    rnd = random.Random(9)
+    target = "".join(rnd.choice("ACGT") for _ in range(400))
+    worse = "".join(rnd.choice("ACGT") if n % 9 == 0 else c for n, c in enumerate(target))
+    q, t = pd.DataFrame({"id": ["q"], "sequence": [target]}), pd.DataFrame({"id_2": ["a", "b"], "sequence_2": [target, worse]})
+    every = A._chain(replace(A.FRAGMENTS, primary=0.0))(q, t)
+    assert {"a", "b"} <= set(every["database_id"])
+    assert set(A._chain(A.FRAGMENTS)(q, t)["database_id"]) == {"a"}
