@@ -460,3 +460,23 @@ def test_chains_far_below_the_best_leave_in_their_task():
     every = A._chain(replace(A.FRAGMENTS, primary=0.0))(q, t)
     assert {"a", "b"} <= set(every["database_id"])
     assert set(A._chain(A.FRAGMENTS)(q, t)["database_id"]) == {"a"}
+
+
+def test_texts_go_to_chains_slice_by_slice(spark):
+    """Hits come out the same in one task or many, with ids in them as given, and their CIGARs can be added afterwards."""
+    from loomseq.operators.align import FRAGMENTS, add_letters
+
+    rng = random.Random(12)
+    refs = [(f"r{n}", dna(rng, 150)) for n in range(5)]
+    refs.append(("r5", mutate(rng, refs[0][1], 0.05)))
+    reads = [(f"q{n}", dna(rng, 20) + mutate(rng, refs[n % 5][1], 0.1) + back(mutate(rng, refs[(n + 1) % 5][1], 0.1))) for n in range(8)] + [("r1", refs[1][1])]
+    q, t = (spark.createDataFrame(x, "id string, sequence string") for x in (reads, refs))
+    one, many = align(q, t, FRAGMENTS), align(q, t, replace(FRAGMENTS, slice=2, block=2))
+    want = {r["hit_id"]: r for r in one.collect()}
+    assert len(want) >= 17 and {r["query_id"] for r in want.values()} == {i for i, _ in reads}
+    assert {r["hit_id"]: r for r in many.collect()} == want
+    bare = align(q, t, FRAGMENTS, letters=False)
+    assert "cigar" not in bare.columns
+    assert {r["hit_id"]: r["cigar"] for r in add_letters(bare, q, t).collect()} == {i: r["cigar"] for i, r in want.items()}
+    plans = bare._jdf.queryExecution().executedPlan().toString()
+    assert "part#" not in plans and "t_seq" not in plans  # no join of texts to single chains
